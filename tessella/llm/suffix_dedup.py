@@ -186,6 +186,12 @@ def _runs(length: int, owners: int):
     return run
 
 
+def _word_hashes(text: bytes) -> np.ndarray:
+    p = Piece(None, pa.array([text], pa.large_binary()).cast(pa.large_string()))
+    p.words()
+    return p.word_hashes()
+
+
 def _owner(length: int):
     reach = _reach(length)
     back = length - reach
@@ -206,9 +212,8 @@ def _owner(length: int):
             order[k] = base[r] + i
             lcp[k] = runs[r][0][i].count(b" ", 0, l)  # whole words in common with the one before
         left_n, content, place = (np.concatenate(x)[order] for x in (left_n, content, place))
-        p = Piece(None, pa.array([b"".join(left)], pa.large_binary()).cast(pa.large_string()))
-        p.words()
-        h = p.word_hashes()
+        # a message at a time: the hashes take several times their text's memory
+        h = np.concatenate([_word_hashes(x) for x in left])
         counts = np.concatenate([np.frombuffer(m.left_n, np.uint8 if back < 256 else np.int32).astype(np.int64) for m in messages.itertuples()])
         stop = np.cumsum(counts)[order]
         hasher = spans_hasher(h)
