@@ -151,3 +151,28 @@ def tag_penalty(a: Column, b: Column, penalty: int) -> Column:
     times = lambda s, v: F.size(F.filter(s, lambda t: t == v))
     missing = F.aggregate(F.array_distinct(y), F.lit(0), lambda n, v: n + F.greatest(times(y, v) - times(x, v), F.lit(0)))
     return (missing + F.abs(F.size(x) - F.size(y))) * penalty
+
+
+def decode_entities(text: Column) -> Column:
+    """Numeric and the usual named character references as characters; others stay. &amp; comes last, so nothing is decoded twice."""
+    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&reg;": "®", "&eacute;": "é", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&ntilde;": "ñ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&euro;": "€"}
+    pieces = F.split(F.regexp_replace(text, "(&#[0-9]{1,5};|&#x[0-9A-Fa-f]{1,4};)", "\u0001$1\u0001"), "\u0001")
+    number = lambda x: F.when(x.startswith("&#x"), F.conv(F.regexp_extract(x, "&#x([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(x, "&#([0-9]+);", 1)).try_cast("int")
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 4, "0")), "UTF-16BE")
+    out = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^&#(x[0-9A-Fa-f]{1,4}|[0-9]{1,5});$"), char(x)).otherwise(x)), "")
+    for code, said in named.items():
+        out = F.replace(out, F.lit(code), F.lit(said))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
+def tags_balanced(text: Column) -> Column:
+    """Whether every tag of the text that opens is closed in the right order: innermost pairs are taken out until none is left."""
+    out = F.regexp_replace(text, "<[A-Za-z_][^<>]*/>", "")
+    for _ in range(8):
+        out = F.regexp_replace(out, "<([A-Za-z_][\\w:.-]*)(?:\\s[^<>]*)?>[^<>]*</\\1>", "")
+    return ~out.rlike("<[A-Za-z_/]")
+
+
+def accept_changes(tokens: Column) -> Column:
+    """Tokens of a text with tracked changes accepted: deletions dropped, the marks of insertions too."""
+    return F.filter(tokens, lambda t: ~t["kind"].isin("deleted", "insertion"))
