@@ -9,14 +9,19 @@ from ..functions import text as T
 REPORT = ("new", "ice", "exact", "rep-int", "rep-ext", "95", "85", "75", "50")
 
 
-def document_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per non-blank line of each document: the columns of docs but text, pos (from 0) and segment.
+def spread_scan(scan: DataFrame, *columns: str) -> DataFrame:
+    """A scan of few splits (a file of one row group, say) spread over the cluster's cores; one of many is left as it is.
 
-    Texts come in few large files: repartition spreads the splitting and counting over the cluster before it begins.
+    Only for plain scans: of those the number of partitions is known without running anything.
     """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *columns)
+
+
+def document_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per non-blank line of each document: the columns of docs but text, pos (from 0) and segment."""
     keep = [c for c in docs.columns if c != text]
-    spread = docs.repartition(*[F.col(c) for c in keep[:1]])
-    return spread.select(*keep, F.posexplode(F.split(text, "\n")).alias("pos", "segment")).where(F.trim("segment") != "")
+    return docs.select(*keep, F.posexplode(F.split(text, "\n")).alias("pos", "segment")).where(F.trim("segment") != "")
 
 
 def classify_repetitions(segments: DataFrame, key: list[str], kind: str = "type", file: str = "original", order: tuple[str, ...] = ("pos",)) -> DataFrame:

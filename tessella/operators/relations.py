@@ -58,7 +58,10 @@ def join_files(tables: list[DataFrame], root: bool = True) -> DataFrame:
     if len(pairs) > 1:
         raise ValueError("files of different versions or languages can't be joined")
     files = both.select("_n", "file_no", "original").distinct()
-    numbers = files.select("*", (F.row_number().over(W.orderBy("_n", "file_no")) - 1).alias("_new"))
+    # numbered within each table; the tables' offsets are as few rows as there are tables
+    offsets = files.groupBy("_n").agg(F.count(F.lit(1)).alias("_c")).select("_n", (F.sum("_c").over(W.orderBy("_n")) - F.col("_c")).alias("_off"))
+    ranked = files.select("*", (F.row_number().over(W.partitionBy("_n").orderBy("file_no")) - 1).alias("_k"))
+    numbers = ranked.join(offsets, "_n").withColumn("_new", (F.col("_k") + F.col("_off")).cast("int")).drop("_k", "_off")
     if root:
         top = files.agg(tree_root(F.collect_set("original")).alias("_root"))
         numbers = numbers.crossJoin(F.broadcast(top))  # one row

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return A.document_lines(docs).withColumnRenamed("source", "original")
+    return A.document_lines(A.spread_scan(docs, "doc_id")).withColumnRenamed("source", "original")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def tmx_rows(spark, sf_dir):
 
 
 @query(f"""WITH {_TURNS}, u AS (SELECT 0 AS n, 'x/a/' || original AS o, pos FROM turns WHERE CAST(original AS BIGINT) % 2 = 0 UNION ALL SELECT 1, 'x/b/' || original, pos FROM turns WHERE CAST(original AS BIGINT) % 2 = 1),
-f AS (SELECT n, o, row_number() OVER (ORDER BY n, CAST(substr(o, 5) AS BIGINT)) - 1 AS file_no FROM (SELECT DISTINCT n, o FROM u)) SELECT file_no, substr(u.o, 3) AS original, pos FROM u JOIN f ON u.o = f.o""")
+f AS (SELECT n, o, CAST(row_number() OVER (ORDER BY n, CAST(substr(o, 5) AS BIGINT)) - 1 AS INTEGER) AS file_no FROM (SELECT DISTINCT n, o FROM u)) SELECT file_no, substr(u.o, 3) AS original, pos FROM u JOIN f ON u.o = f.o""")
 def join_union(spark, sf_dir):
     rows = turns(spark, sf_dir).select(F.col("original").cast("long").alias("file_no"), "original", "pos").withColumns({"version": F.lit("1.2"), "src_lang": F.lit("en"), "tgt_lang": F.lit("es")})
     even = rows.where("file_no % 2 = 0").withColumn("original", F.concat(F.lit("x/a/"), "original"))
@@ -327,20 +327,20 @@ def status_history(spark, sf_dir):
 @query()
 def sentence_segments(spark, sf_dir):
     """Sentences of all documents by their languages' rules."""
-    d = table(spark, sf_dir, "documents").repartition("doc_id")
+    d = A.spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     return d.select("doc_id", F.posexplode(srx.segment(F.col("text"), F.col("lang"))).alias("pos", "segment"))
 
 
 @query()
 def html_segments(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").repartition("page_id")
+    pages = A.spread_scan(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     return S.segments_of(S.parts_of(pages, "HTML", "utf-8", "page_id", "html")).select("doc_id", "pos", "unit_id", "source")
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, md5(html) AS same FROM pages WHERE false")
 def html_round_trip(spark, sf_dir):
     """Pages whose parts, put together again with unchanged sources, lose more than white space: none."""
-    pages = table(spark, sf_dir, "pages").repartition("page_id")
+    pages = A.spread_scan(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     parts = S.parts_of(pages, "HTML", "utf-8", "page_id", "html")
     again = S.merge_text(parts, S.segments_of(parts)).select("doc_id", "text")
     bare = lambda c: F.regexp_replace(c, "\\s+", "")
