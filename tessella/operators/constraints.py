@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 
 VERSIONS = ("1.0", "1.1", "1.2", "2.0", "2.1", "2.2")
+#: Attributes of the elements of version 1.2, by its public specification; names with a colon besides xml: ones are extensions and free.
+ATTRIBUTES = {
+    "xliff": "version xml:lang", "file": "original source-language datatype tool tool-id date xml:space target-language product-name product-version build-num category", "header": "", "body": "", "skl": "", "internal-file": "form crc", "external-file": "href uid crc", "glossary": "", "reference": "",
+    "phase-group": "", "phase": "phase-name process-name company-name tool tool-id date job-id contact-name contact-email contact-phone", "tool": "tool-id tool-name tool-version tool-company", "note": "xml:lang from priority annotates",
+    "count-group": "name", "count": "count-type phase-name unit", "context-group": "crc name purpose", "context": "context-type match-mandatory crc", "prop-group": "name", "prop": "prop-type xml:lang",
+    "group": "id datatype xml:space restype resname extradata help-id menu menu-option menu-name coord font css-style style exstyle extype translate reformat maxbytes minbytes size-unit maxheight minheight maxwidth minwidth charclass merged-trans ts",
+    "trans-unit": "id approved translate reformat xml:space datatype phase-name restype resname extradata help-id menu menu-option menu-name coord font css-style style exstyle extype maxbytes minbytes size-unit maxheight minheight maxwidth minwidth charclass ts",
+    "source": "xml:lang ts", "seg-source": "xml:lang ts", "target": "state state-qualifier phase-name xml:lang resname coord font css-style style exstyle equiv-trans ts restype",
+    "alt-trans": "mid match-quality tool tool-id crc xml:lang datatype xml:space restype resname extradata help-id menu menu-option menu-name coord font css-style style exstyle extype origin phase-name alttranstype ts",
+    "bin-unit": "id mime-type approved translate reformat restype resname phase-name ts", "bin-source": "ts", "bin-target": "mime-type state state-qualifier phase-name restype resname ts",
+    "g": "id ctype clone xid equiv-text ts", "x": "id ctype clone xid equiv-text ts", "bx": "id rid ctype clone xid equiv-text ts", "ex": "id rid xid equiv-text ts", "bpt": "id rid ctype crc xid equiv-text ts", "ept": "id rid crc xid equiv-text ts",
+    "it": "id pos rid ctype crc xid equiv-text ts", "ph": "id ctype crc assoc xid equiv-text ts", "sub": "datatype ctype xid", "mrk": "mtype mid comment ts",
+}
 STATES = ("initial", "translated", "reviewed", "final")
 
 
@@ -34,6 +47,37 @@ def check(df: DataFrame, wrong: Column, place: str, rule: str, reason: str) -> D
     return _rows(df.where(F.coalesce(wrong, F.lit(False))), rule, F.col(place), reason)
 
 
+def attribute_rule(attributes: DataFrame) -> DataFrame:
+    """Attributes (doc_id, element, attribute) that their element doesn't have; unknown elements and extensions are free."""
+    known = F.create_map(*[x for e, a in ATTRIBUTES.items() for x in (F.lit(e), F.array(*[F.lit(n) for n in a.split()]).cast("array<string>"))])
+    allowed = known[F.col("element")]
+    free = F.col("attribute").contains(":") & ~F.col("attribute").startswith("xml:") | F.col("attribute").startswith("xmlns")
+    return _rows(attributes.where(~free & allowed.isNotNull() & ~F.array_contains(allowed, F.col("attribute"))), "attribute", F.concat_ws("/", "doc_id", "element", "attribute"), "no such attribute")
+
+
+def version_1_parts(units: DataFrame, tags: DataFrame, groups: DataFrame, phases: DataFrame, tools: DataFrame, alternatives: DataFrame) -> dict[str, DataFrame]:
+    """More rules for the first version: of groups (doc_id, group_id), phases (doc_id, phase), tools (doc_id, tool_id),
+    alternatives (doc_id, unit_id, mid, tool_id) and segment markers (tags of kind mrk, side seg-source or target)."""
+    marks = tags.where("kind = 'mrk' and mid is not null")
+    at = ["doc_id", "unit_id"]
+    own = marks.where("side = 'seg-source'")
+    return {
+        "group_unique": unique(groups, ["doc_id", "group_id"], "group_unique"),
+        "phase_unique": unique(phases, ["doc_id", "phase"], "phase_unique"),
+        "phase": refers(units, "phase", phases, "phase", "phase", ["doc_id"]),
+        "tool_unique": unique(tools, ["doc_id", "tool_id"], "tool_unique"),
+        "tool": refers(alternatives, "tool_id", tools, "tool_id", "tool", ["doc_id"]),
+        "alternative": refers(alternatives, "mid", own, "mid", "alternative", at),
+        "mark_unique": unique(own, [*at, "mid"], "mark_unique"),
+        "mark": refers(marks.where("side = 'target'"), "mid", own, "mid", "mark", at),
+    }
+
+
+def module_rules(modules: dict[str, DataFrame], within: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """Ids of modules (matches, glossary entries, metadata groups, notes) are unique in their unit (doc_id, unit_id, id)."""
+    return {name: unique(df, [*(within or {}).get(name, ["doc_id", "unit_id"]), "id"], f"{name}_unique") for name, df in modules.items()}
+
+
 def version_1_rules(files: DataFrame, units: DataFrame, tags: DataFrame) -> dict[str, DataFrame]:
     """Rules for the first version.
 

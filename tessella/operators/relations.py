@@ -114,3 +114,19 @@ def merge_documents(parts: DataFrame, segments: DataFrame, policy: str = "approv
     text = F.when(missing, F.raise_error(F.concat(F.lit("segment missing: "), F.coalesce("ref_id", F.lit("null"))))).when(F.col("kind") == "ref", F.col("_text")).otherwise(F.col("literal"))
     piece = F.struct(F.col("part_no").alias("n"), F.coalesce(text, F.lit("")).alias("x"))
     return joined.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["x"]), "").alias("text"))
+
+
+def match_tags(source: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
+    """target tags (by, pos, text) with the id of the source tag (by, pos, id, text) of the same text: the first with the first, and so on.
+
+    Target tags beyond the source's get null.
+    """
+    nth = lambda df: df.withColumn("_n", F.row_number().over(W.partitionBy(*by, "text").orderBy("pos")))
+    s = nth(source).select(*by, "text", "_n", "id")
+    return nth(target).join(s, [*by, "text", "_n"], "left").select(*by, "pos", "text", "id")
+
+
+def copy_protected(source: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
+    """target marks (by, mid, text, protected) with protected ones' text taken from the source mark of the same mid."""
+    s = source.select(*by, "mid", F.col("text").alias("_t"))
+    return target.join(s, [*by, "mid"], "left").select(*by, "mid", F.when(F.col("protected") & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.col("text")).alias("text"), "protected")

@@ -169,7 +169,19 @@ def po(text: str) -> list[Part]:
     return out
 
 
-@text_format("MIF")
+def _to_mif(text: str) -> str:
+    """Text as string statements, markup lines between them as they were."""
+    coded = {"\t": "\\t", ">": "\\>", "'": "\\q", "`": "\\Q", "\\": "\\\\"}
+    out = []
+    for k, piece in enumerate(re.split(r"<ph>(.*?)</ph>", text, flags=re.S)):
+        if k % 2:
+            out.append(piece.strip("\n"))
+        elif piece:
+            out.append("<String `" + "".join(coded.get(c, c) for c in piece) + "'>")
+    return "\n".join(out)
+
+
+@text_format("MIF", _to_mif)
 def mif(text: str) -> list[Part]:
     """Strings of paragraphs; lines of markup between the strings of one paragraph are tags in its segment."""
     decode = {"\\t": "\t", "\\>": ">", "\\q": "'", "\\Q": "`", "\\\\": "\\"}
@@ -201,6 +213,38 @@ def mif(text: str) -> list[Part]:
     return out
 
 
+def words_to_text(words: list[int]) -> str:
+    """Text of little-endian 16-bit words, up to its closing zero."""
+    raw = b"".join(w.to_bytes(2, "little") for w in words)
+    return raw.split(b"\0", 1)[0].decode("latin-1")
+
+
+def text_to_words(text: str) -> list[int]:
+    """The other way: with a closing zero, and another where the number of bytes would be odd. Other characters become ?."""
+    raw = text.encode("latin-1", "replace") + b"\0"
+    raw += b"\0" * (len(raw) % 2)
+    return [int.from_bytes(raw[k : k + 2], "little") for k in range(0, len(raw), 2)]
+
+
+_DLGINIT = re.compile(r"(?P<head>\w+\s*,\s*0x0*(?:403|1234)\s*,\s*)(?P<size>\d+)(?P<gap>\s*,\s*0\s*\n)(?P<data>(?:\s*(?:0x[0-9A-Fa-f]{1,4}|\"\\\\000\")\s*,?)+)")
+
+
+def dialog_strings(text: str) -> list[str]:
+    """Strings of the DLGINIT data of a resource file, in order."""
+    return [words_to_text([int(w, 16) for w in re.findall(r"0x([0-9A-Fa-f]{1,4})", m["data"])]) for m in _DLGINIT.finditer(text)]
+
+
+def replace_dialog_strings(text: str, said: list[str]) -> str:
+    """The resource file with the strings of its DLGINIT data replaced, their sizes counted anew."""
+    new = iter(said)
+
+    def put(m: re.Match) -> str:
+        words = text_to_words(next(new))
+        return f"{m['head']}{2 * len(words)}{m['gap']}" + ", ".join(f"0x{w:04x}" for w in words) + ",\n"
+
+    return _DLGINIT.sub(put, text)
+
+
 @text_format("RC")
 def rc(text: str) -> list[Part]:
     """Strings of string tables, menus, dialogs and controls; those of #include and #define lines only where defines a string."""

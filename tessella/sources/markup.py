@@ -225,10 +225,23 @@ def xml_document(text: str, config: Config | None = None) -> list[Part]:
     return out
 
 
-for _code in ("XML", "XMLG", "INX", "DITA", "QTI"):
+for _code in ("XML", "XMLG", "DITA", "QTI"):
     text_format(_code)(xml_document)
 
 
+@text_format("INX", lambda s: s.replace("_", "~sep~"))
+def inx(text: str) -> list[Part]:
+    """Text that begins with c_ is content, with ~sep~ for underscores; all else is literal."""
+    out = []
+    for m in TOKEN.finditer(text):
+        t = m.group()
+        if t.startswith("c_") and t[2:].strip():
+            out += [Part("c_"), Part(unit="", source=t[2:].replace("~sep~", "_"))]
+        else:
+            out.append(Part(t))
+    return out
+
+
 @text_format("ICML")
 def icml(text: str) -> list[Part]:
     """Stories: text of Content elements; deleted text of tracked changes is literal."""

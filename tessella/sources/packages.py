@@ -100,3 +100,12 @@ def rebuild(content: bytes, texts: dict[str, str]) -> bytes:
         for i in z.infolist():
             w.writestr(i, texts[i.filename].encode() if i.filename in texts else z.read(i))
     return out.getvalue()
+
+
+def return_package(content: bytes, texts: dict[str, str]) -> bytes:
+    """A Trados package as the package that is sent back: with its translated entries, and a project of that type."""
+    done = dict(texts)
+    for name, raw in entries(content):
+        if name.endswith(".sdlproj"):
+            done[name] = re.sub(r'PackageType="[^"]*"', 'PackageType="ReturnPackage"', raw.decode("utf-8-sig"))
+    return rebuild(content, done)

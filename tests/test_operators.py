@@ -134,3 +134,24 @@ def test_graph(spark):
     values = spark.createDataFrame([("x y",), ("x z",), (None,), ("z",)], "v string")
     actions = F.create_map(F.lit("x"), F.lit("exclude"), F.lit("y"), F.lit("exclude"))
     assert [r[0] for r in values.select(G.excluded(F.col("v"), actions, F.lit(None))).collect()] == [True, False, False, False]
+
+
+def test_tag_matching(spark):
+    src = spark.createDataFrame([("u", 0, "1", "<b>"), ("u", 1, "2", "<b>"), ("u", 2, "3", "<i>")], "u string, pos int, id string, text string")
+    tgt = spark.createDataFrame([("u", 0, "<i>"), ("u", 1, "<b>"), ("u", 2, "<b>"), ("u", 3, "<b>")], "u string, pos int, text string")
+    assert {r.pos: r.id for r in R.match_tags(src, tgt, ["u"]).collect()} == {0: "3", 1: "1", 2: "2", 3: None}
+    a = spark.createDataFrame([("u", "1", "keep")], "u string, mid string, text string")
+    b = spark.createDataFrame([("u", "1", "changed", True), ("u", "2", "free", False)], "u string, mid string, text string, protected boolean")
+    assert {r.mid: r.text for r in R.copy_protected(a, b, ["u"]).collect()} == {"1": "keep", "2": "free"}
+
+
+def test_more_rules(spark):
+    attrs = spark.createDataFrame([("d", "trans-unit", "id"), ("d", "trans-unit", "odd"), ("d", "trans-unit", "my:odd"), ("d", "g", "approved"), ("d", "what", "x"), ("d", "body", "xml:odd")], "doc_id string, element string, attribute string")
+    assert sorted(r.place for r in C.attribute_rule(attrs).collect()) == ["d/body/xml:odd", "d/g/approved", "d/trans-unit/odd"]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    units = df([("d", "1", None, "p", None, None, None), ("d", "2", None, "zz", None, None, None)], V1["units"])
+    tags = df([("d", "1", "seg-source", "mrk", None, None, None, "0"), ("d", "1", "seg-source", "mrk", None, None, None, "0"), ("d", "1", "target", "mrk", None, None, None, "5")], V1["tags"])
+    more = C.version_1_parts(units, tags, df([("d", "g"), ("d", "g"), ("e", "g")], "doc_id string, group_id string"), df([("d", "p"), ("d", "p")], "doc_id string, phase string"), df([("d", "t"), ("d", "t")], "doc_id string, tool_id string"), df([("d", "1", "7", "u"), ("d", "1", "0", "t")], "doc_id string, unit_id string, mid string, tool_id string"))
+    assert sorted((r.rule, r.place) for r in C.violations(more).collect()) == [("alternative", "d/1/7"), ("group_unique", "d/g"), ("mark", "d/1/5"), ("mark_unique", "d/1/0"), ("phase", "d/zz"), ("phase_unique", "d/p"), ("tool", "d/u"), ("tool_unique", "d/t")]
+    modules = {"notes": df([("d", "u", "1"), ("d", "u", "1"), ("d", "v", "1")], "doc_id string, unit_id string, id string")}
+    assert [r.rule for r in C.violations(C.module_rules(modules)).collect()] == ["notes_unique"]

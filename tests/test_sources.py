@@ -20,6 +20,7 @@ CASES = {
     "JSON": ('{"a": "x\\n", "b": [1, "y", {"c": ""}]}', ["x\n", "y"]),
     "HTML": ('<html><body><p><b>Hi</b> there</p><script>var t="</p>";</script><!-- x --><div><p>2</p></div></body></html>', ["<b>Hi</b> there", "2"]),
     "XML": ('<?xml version="1.0"?><r><p>a <b>c</b> d</p><q/></r>', ["a <b>c</b> d"]),
+    "INX": ("<docu><pcnt>c_a~sep~b</pcnt><x>e_1</x></docu>", ["a_b"]),
     "ICML": ("<Story><Content>a</Content><Change ChangeType=\"DeletedText\"><Content>gone</Content></Change></Story>", ["a"]),
     "RESX": ('<root><data name="a"><value>T</value></data><data name="b" type="x"><value>U</value></data><data name=">>c"><value>W</value></data></root>', ["T"]),
 }
@@ -101,6 +102,8 @@ def test_packages():
     assert D.detect(qti) == "QTIP" and [n for n, _ in S.parse(qti, "QTIP")] == ["item.xml"]
     with pytest.raises(ValueError):
         packages.qti_package(odt)
+    back = package(**{"p.sdlproj": '<PackageProject PackageType="ProjectPackage"/>', "es/a.sdlxliff": "x"})
+    assert dict(packages.entries(packages.return_package(back, {"es/a.sdlxliff": "y"}))) == {"p.sdlproj": b'<PackageProject PackageType="ReturnPackage"/>', "es/a.sdlxliff": b"y"}
     again = packages.rebuild(odt, {"content.xml": "<new/>"})
     assert dict(packages.entries(again)) == {"content.xml": b"<new/>"}
 
@@ -164,3 +167,18 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("history").collect()) == [6, 24]
+
+
+def test_dialog_data():
+    text = 'IDD DLGINIT\nBEGIN\n    IDC_COMBO, 0x403, 6, 0\n0x6548, 0x6c6c, 0x006f,\n    0\nEND\n'
+    assert lines.dialog_strings(text) == ["Hello"]
+    changed = lines.replace_dialog_strings(text, ["Hola"])
+    assert lines.dialog_strings(changed) == ["Hola"] and "0x403, 6, 0" in changed
+    for said in ("", "a", "ab", "caf\u00e9"):
+        assert lines.words_to_text(lines.text_to_words(said)) == said
+
+
+def test_frame_maker_comes_together_again():
+    text = "<Para\n<ParaLine\n<String `a \\q b'>\n<Font x>\n<String `y'>\n>\n> # end of Para\n"
+    [(_, parts)] = S.parse(text.encode(), "MIF")
+    assert "".join(p.literal if p.unit is None else ENCODERS["MIF"](p.source) for p in parts) == text
