@@ -65,3 +65,21 @@ def test_more_functions(spark):
     one = lambda t, f: spark.createDataFrame([(t,)], "x string").select(f(F.col("x"))).first()[0]
     assert one("a &lt;b&gt; &#233;&#x4e2d; &amp;lt; &zz;", T.decode_entities) == "a <b> é中 &lt; &zz;"
     assert [one(t, T.tags_balanced) for t in ("<b>x<i>y</i></b>", "<b>x<i>y</b></i>", "<br/>x", "x</b>", "1 < 2")] == [True, False, True, False, True]
+
+
+def test_command_line(spark, tmp_path):
+    from tessella.__main__ import parser, run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.properties").write_text("k=One. Two.\n")
+    go = lambda *args: run(spark, parser().parse_args([str(x) for x in args]))
+    go("convert", "-file", tmp_path / "in", "-srcLang", "en", "-out", tmp_path / "t")
+    go("pseudotranslate", "-segments", tmp_path / "t/segments", "-out", tmp_path / "p")
+    go("approveall", "-segments", tmp_path / "p", "-out", tmp_path / "m/segments")
+    spark.read.parquet(str(tmp_path / "t/parts")).write.parquet(str(tmp_path / "m/parts"))
+    go("merge", "-tables", tmp_path / "m", "-out", tmp_path / "out")
+    assert spark.read.parquet(str(tmp_path / "out")).first()["text"] == "k=Önè. Twö.\n"
+    go("exporttmx", "-segments", tmp_path / "m/segments", "-srcLang", "en", "-tgtLang", "es", "-out", tmp_path / "tmx")
+    assert spark.read.parquet(str(tmp_path / "tmx")).first()["text"].count("<tu ") == 2
+    go("compare", "-file1", tmp_path / "p", "-file2", tmp_path / "m/segments", "-out", tmp_path / "diff")
+    assert spark.read.parquet(str(tmp_path / "diff")).count() == 0
