@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textkit import Piece, gram_hashes, mix64, pieces, spans_hasher
 
-MAX_TRAIN, MIN_DOCS, MIN_Z, TABLE_BITS = 8_000, 5, 5.0, 18
+MAX_TRAIN, MIN_DOCS, MIN_Z, TABLE_BITS = 5_000, 5, 4.0, 18
 #: Lengths in bytes of the beginnings of words that are features beside the whole word (0): inflected words share them.
 KINDS = (0, 4, 5, 6, 7, 8)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,15 +26,15 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 
 
-def sentence_words(p: Piece) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of each word, a list by KINDS with 0 for words too short (ASCII letters lowered, punctuation at its edges off), its sentence, and each sentence's first word.
+def sentence_words(p: Piece, kinds: tuple[int, ...] = KINDS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of each word, a list by kinds with 0 for words too short (ASCII letters lowered, punctuation at its edges off), its sentence, and each sentence's first word.
 
     A sentence ends with a word that ends in one of . ! ? or before a line break or the document's end.
     """
     p.words()
     n = len(p.starts)
     if not n:
-        return [np.zeros(0, np.uint64)] * len(KINDS), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return [np.zeros(0, np.uint64)] * len(kinds), np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = _LOWER[p.data]
     s, e = p.starts.copy(), p.ends.copy()
     for _ in range(8):
@@ -51,8 +51,11 @@ def sentence_words(p: Piece) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     new = np.ones(n, bool)
     new[1:] = _STOP[p.data[p.ends[:-1] - 1]] | (p.row[1:] != p.row[:-1]) | (breaks[p.starts[1:]] > breaks[p.ends[:-1]])
     hasher = spans_hasher(data)
-    hashes = [hasher(s, e)]
-    for k in KINDS[1:]:
+    hashes = []
+    for k in kinds:
+        if not k:
+            hashes.append(hasher(s, e))
+            continue
         own = np.zeros(n, np.uint64)
         long_enough = np.flatnonzero(e - s >= k)
         own[long_enough] = mix64(hasher(s[long_enough], s[long_enough] + k) + np.uint64(k))
@@ -84,89 +87,106 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, steps: int = 300) -> Model:
-    """Fits the model to whole documents with 0/1 labels.
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, steps: int = 300) -> Model:
+    """Fits the model to whole documents with 0/1 labels, each as often as its weight says.
 
     Words enter if they are in min_docs documents at least and their documents' rate of label 1 exceeds the overall
     rate by min_z standard errors. Of near copies (a common min-hash of word 5-grams) only the first counts, lest a text
     that is often copied makes all its words look telling.
     """
     labels = np.asarray(labels, float)
+    weights = np.ones(len(labels)) if weights is None else np.asarray(weights, float)
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0, 0.5)  # nothing to learn from: nothing is toxic
-    kept, words, sentence, doc = [], [[] for _ in KINDS], [], []
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    kept, sentence, doc = [], [], []
     seen_sketch: set[tuple[int, int]] = set()
     base = at = 0
-    for p in pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])])):
-        hashes, own, first = sentence_words(p)
-        grams = gram_hashes(hashes[0], 5)
+    for p in pieces(iter([batch])):
+        (hashes,), own, first = sentence_words(p, (0,))
+        grams = gram_hashes(hashes, 5)
         fresh = np.zeros(p.rows.num_rows, bool)
         for k in range(p.rows.num_rows):
             inside = grams[p.first[k] : max(p.first[k] + 1, p.first[k + 1] - 4)]
-            sketch = {(j, int((inside * np.uint64(2 * j + 3)).min())) for j in range(4)} if len(inside) else {(9, p.text(k).__hash__())}
+            sketch = {(j, int((inside * np.uint64(2 * j + 3)).min())) for j in range(4)} if len(inside) else {(9, p.text(k))}
             if not sketch & seen_sketch:
                 seen_sketch |= sketch
                 fresh[k] = True
         kept.append(fresh)
-        use = fresh[p.row]
-        for k, h in enumerate(hashes):
-            words[k].append(h[use])
-        sentence.append(own[use] + base)
-        doc.append(p.row[first] + at)
+        sentence.append((own[fresh[p.row]] + base).astype(np.int32))
+        doc.append((p.row[first] + at).astype(np.int32))
         at += p.rows.num_rows
         base += len(first)
     sentence, doc, kept = np.concatenate(sentence), np.concatenate(doc), np.concatenate(kept)
     rate = labels[kept].mean()
     row, column, vocabulary = [], [], []
     size = 0
-    for own in words:
+    for kind in KINDS:  # a kind at a time, so that the driver holds one array of hashes
+        own, n = [], 0
+        for p in pieces(iter([batch])):
+            (h,), _, _ = sentence_words(p, (kind,))
+            own.append(h[kept[n : n + p.rows.num_rows][p.row]])
+            n += p.rows.num_rows
         own = np.concatenate(own)
-        values, code = np.unique(own, return_inverse=True)
-        pairs = np.unique(code * len(labels) + doc[sentence])
-        of, docs = pairs // len(labels), pairs % len(labels)
-        seen, toxic = np.bincount(of, minlength=len(values)), np.bincount(of, weights=labels[docs], minlength=len(values))
+        # once a document: then a word's documents are counted by its runs
+        order = np.lexsort((doc[sentence], own))
+        h, d = own[order], doc[sentence[order]]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        values, begin, seen = np.unique(h[once], return_index=True, return_counts=True)
+        toxic = np.add.reduceat(labels[d[once]], begin) if len(values) else np.zeros(0)
+        del order, h, d, once
         z = (toxic - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
-        used = np.flatnonzero((seen >= min_docs) & (z >= min_z) & (values > 0))
-        place = np.full(len(values), -1)
-        place[used] = np.arange(len(used)) + size
-        hit = np.flatnonzero(place[code] >= 0)
-        row.append(sentence[hit])
-        column.append(place[code[hit]])
-        vocabulary.append(values[used])
+        used = values[(seen >= min_docs) & (z >= min_z) & (values > 0)]
+        if len(used):
+            place = np.searchsorted(used, own)
+            hit = np.flatnonzero(used[np.minimum(place, len(used) - 1)] == own)
+            row.append(sentence[hit])
+            column.append(place[hit] + size)
+        vocabulary.append(used)
         size += len(used)
-    row, column, used = np.concatenate(row), np.concatenate(column), np.concatenate(vocabulary)
-    live = kept[doc]
+        del own
+    used = np.concatenate(vocabulary)
+    row, column = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (row, column))
     n_doc = len(labels)
+    live = weights[doc] * kept[doc] / (weights * kept).sum()
     w, b = np.zeros(len(used)), -4.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+
+    def bags(x):
+        return 1 - np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(_sigmoid(x), 1 - 1e-9)), minlength=n_doc))
+
     for k in range(1, steps + 1):
-        x = np.full(base, b)
-        x += np.bincount(row, weights=w[column], minlength=base)
-        p = _sigmoid(x)
-        log_clean = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n_doc)
-        bag = np.clip(1 - np.exp(log_clean), 1e-9, 1 - 1e-9)
+        x = b + np.bincount(row, weights=w[column], minlength=base)
+        p, bag = _sigmoid(x), np.clip(bags(x), 1e-9, 1 - 1e-9)
         # d(-log likelihood)/dx of a sentence: p for a clean bag; -p * (1 - bag) / bag for a toxic one
-        g = np.where(labels[doc] > 0, -p * (1 - bag[doc]) / bag[doc], p) * live / n_doc
+        g = np.where(labels[doc] > 0, -p * (1 - bag[doc]) / bag[doc], p) * live
         grad = np.append(np.bincount(column, weights=g[row], minlength=len(used)) + 2e-5 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w -= step[:-1]
         b -= step[-1]
-    x = np.full(base, b) + np.bincount(row, weights=w[column], minlength=base)
-    bag = 1 - np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(_sigmoid(x), 1 - 1e-9)), minlength=n_doc))
+    bag = bags(b + np.bincount(row, weights=w[column], minlength=base))
+    heavy = weights * kept
     grid = np.linspace(0.2, 0.8, 25)
-    f = [2 * ((bag >= c) & (labels > 0) & kept).sum() / max(1, ((bag >= c) & kept).sum() + ((labels > 0) & kept).sum()) for c in grid]
+    f = [2 * (heavy * (bag >= c) * labels).sum() / max(1e-9, (heavy * (bag >= c)).sum() + (heavy * labels).sum()) for c in grid]
     best = np.flatnonzero(np.array(f) >= max(f) - 1e-12)
     return Model(used, w, float(b), float(grid[best[len(best) // 2]]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Trains on max_train labelled documents, those of least id hash: a fixed sample, bounded whatever the input's size."""
+    """Trains on max_train labelled documents at most, half of them toxic if there are so many: of each label those of
+    least id hash, a fixed sample, bounded whatever the input's size. Weights give the labels their true shares again."""
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
-    table = rows.select("_label", "_text").toArrow()
-    return train(table["_text"].to_pylist(), table["_label"].to_numpy())
+    known = known.join(docs.where(F.col(text).isNotNull()).select(F.col(id).alias("_id")).distinct(), "_id", "left_semi")
+    shares = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
+    pick = lambda y: known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_train // 2)
+    chosen = pick(0).unionByName(pick(1))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    table = rows.select("_id", "_label", "_text").orderBy("_id", "_text").toArrow()
+    y = table["_label"].to_numpy()
+    weights = np.array([shares.get(int(k), 0) / max(1, (y == k).sum()) for k in y])
+    return train(table["_text"].to_pylist(), y, weights)
 
 
 def _score(model: Model, sentences: bool):
