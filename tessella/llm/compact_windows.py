@@ -194,7 +194,8 @@ def _runs(hit: np.ndarray, gap: int) -> list[tuple[int, int]]:
 def verify(x: np.ndarray, y: np.ndarray, least: int, similar: float, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
     """(first, last in x, first, last in y, Jaccard) of the passages of at least `least` tokens that x and y share nearly.
 
-    Runs of tokens of x that y has, cut where more than gap others follow one another; against each, y's likewise.
+    Runs of tokens of x that y has, cut where more than gap others follow one another; against each, y's likewise. A run
+    that has no partner of enough Jaccard is cut at shorter gaps, down to the tokens that are shared without a break.
     """
     out = []
     for a, b in _runs(np.isin(x, y), gap):
@@ -211,6 +212,8 @@ def verify(x: np.ndarray, y: np.ndarray, least: int, similar: float, gap: int =
                     best = (a, b, c, d, j)
         if best:
             out.append(best)
+        elif gap:
+            out += [(a + p, a + q, c, d, j) for p, q, c, d, j in verify(x[a : b + 1], y, least, similar, gap // 2)]
     return out
 
 
