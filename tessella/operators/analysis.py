@@ -46,17 +46,28 @@ def classify_repetitions(segments: DataFrame, key: list[str], kind: str = "type"
 
 def segment_report(classified: DataFrame, file: str = "original", kind: str = "type", total: str | None = "SUM") -> DataFrame:
     """Segments per file by class, and a total line; matches are exact to 50. `n_total` counts all, ice too."""
+    return _with_total(classified, file, _segment_aggs(kind), total)
+
+
+def _segment_aggs(kind: str) -> list[Column]:
     count = lambda *kinds: F.count_if(F.col(kind).isin(*kinds))
-    aggs = [count("new").alias("n_new"), count("ice").alias("n_ice"), count(*T.CLASSES).alias("n_matches"), count("rep-int").alias("n_rep_int"), count("rep-ext").alias("n_rep_ext"), F.count(F.lit(1)).alias("n_total")]
-    return _with_total(classified, file, aggs, total)
+    return [count("new").alias("n_new"), count("ice").alias("n_ice"), count(*T.CLASSES).alias("n_matches"), count("rep-int").alias("n_rep_int"), count("rep-ext").alias("n_rep_ext"), F.count(F.lit(1)).alias("n_total")]
 
 
 def word_report(classified: DataFrame, file: str = "original", kind: str = "type", words: str = "words", untranslatable: str = "untranslatable", total: str | None = "SUM") -> DataFrame:
     """Words per file by class; repeated are internal and external together."""
+    return _with_total(classified, file, _word_aggs(kind, words, untranslatable), total)
+
+
+def _word_aggs(kind: str, words: str, untranslatable: str) -> list[Column]:
     of = lambda *kinds: F.coalesce(F.sum(F.when(F.col(kind).isin(*kinds), F.col(words)).otherwise(0)), F.lit(0))
     names = {"w_new": ("new",), "w_ice": ("ice",), "w_exact": ("exact",), "w_repeated": ("rep-int", "rep-ext"), "w_95": ("95",), "w_85": ("85",), "w_75": ("75",), "w_50": ("50",)}
-    aggs = [of(*kinds).alias(name) for name, kinds in names.items()] + [F.sum(untranslatable).alias("w_untranslatable"), F.sum(F.col(words) + F.col(untranslatable)).alias("w_total")]
-    return _with_total(classified, file, aggs, total)
+    return [of(*kinds).alias(name) for name, kinds in names.items()] + [F.sum(untranslatable).alias("w_untranslatable"), F.sum(F.col(words) + F.col(untranslatable)).alias("w_total")]
+
+
+def repetition_report(classified: DataFrame, file: str = "original", kind: str = "type", words: str = "words", untranslatable: str = "untranslatable", total: str | None = "SUM") -> DataFrame:
+    """segment_report and word_report in one pass."""
+    return _with_total(classified, file, _segment_aggs(kind) + _word_aggs(kind, words, untranslatable), total)
 
 
 def status_report(segments: DataFrame, file: str = "original", total: str | None = "SUM") -> DataFrame:

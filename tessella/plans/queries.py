@@ -79,9 +79,7 @@ SELECT coalesce(original, 'SUM') AS original, count(*) FILTER (type = 'new') AS
 def repetition_status(spark, sf_dir):
     """The flagship: segments and words of each file by repetition class, with a total."""
     rows = A.counted(classified(spark, sf_dir), "segment", "en")
-    n = A.segment_report(rows).select("original", "n_new", "n_rep_int", "n_rep_ext", "n_total")
-    w = A.word_report(rows).select(F.col("original").alias("o"), "w_new", "w_repeated", "w_total")
-    return n.join(w, F.col("original") == F.col("o")).drop("o")
+    return A.repetition_report(rows).select("original", "n_new", "n_rep_int", "n_rep_ext", "n_total", "w_new", "w_repeated", "w_total")
 
 
 @query(f"WITH {_LINES} SELECT lang, CAST(sum({_words('segment')}) AS BIGINT) AS words, count(*) AS segments FROM lines GROUP BY lang")
