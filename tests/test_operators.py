@@ -14,7 +14,6 @@ def test_repetitions(spark):
     rows = [("A.txt", 0, "x", "new"), ("A.txt", 1, "x", "new"), ("b.txt", 0, "x", "new"), ("b.txt", 1, "x", "exact"), ("b.txt", 2, "y", "new"), ("b.txt", 3, "y", "new")]
     df = spark.createDataFrame(rows, "original string, pos int, key string, type string").repartition(3)
     got = {(r.original, r.pos): r.type for r in A.classify_repetitions(df, ["key"]).collect()}
-    # a pre-classified row is marked as the reference marks it: later equals of a new segment, whatever they were
     assert got[("A.txt", 0)] == "new" and got[("A.txt", 1)] == "rep-int" and got[("b.txt", 0)] == "rep-ext"
     assert got[("b.txt", 2)] == "new" and got[("b.txt", 3)] == "rep-int"
     report = {r.original: r for r in A.segment_report(A.classify_repetitions(df, ["key"])).collect()}
