@@ -5,9 +5,10 @@ position c, the widest span [l, r] in which c has the least hash: all passages [
 the same min-hash, so the window (l, c, r) stands for all of them. Only windows as wide as a passage are kept, about
 2 / (least tokens + 1) of the positions.
 
-1. Windows of equal min-hash in different texts are joined: each with the one before it in the group and with the group's first.
-2. For each pair of texts, windows of ENOUGH functions at least must share a passage in both texts (an interval join);
-   these spans are the candidates.
+1. Windows of equal min-hash in different texts are joined, each with all others of the group; a text's windows of one
+   min-hash count as one from the first to the last of them.
+2. For each pair of texts, ENOUGH such windows at least must overlap by a passage, one the next; what they span in both
+   texts are the candidates.
 3. Candidates are cut to runs of tokens that the other side has too, and verified: Jaccard of the tokens >= SIMILAR.
 """
 
@@ -24,6 +25,8 @@ from .suffix_dedup import join_spans
 from .textkit import gram_hashes, mix64, pieces, signed, window_min
 
 LENGTH, SHINGLE, K, ENOUGH, SIMILAR, GAP = 50, 5, 5, 2, 0.6, 16
+#: Pairs in one batch, and bytes of excerpts.
+PAIRS, EXCERPTS = 1 << 17, 1 << 24
 
 
 def _span(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,62 +105,70 @@ def _windows(length: int, shingle: int, k: int):
     return run
 
 
-def _regions(hits: np.ndarray, enough: int, least: int) -> list[tuple[int, int, int, int]]:
-    """Spans (first and last token in a, in b) of which windows of `enough` functions share a passage on both sides.
-
-    hits: rows of f, l, c, r in a and l, c, r in b. For each hit, in order of c on one diagonal, those that follow while
-    the intersection holds.
-    """
-    hits = hits[np.lexsort((hits[:, 2], hits[:, 5] - hits[:, 2]))]
-    shift = hits[:, 5] - hits[:, 2]
-    out: list[tuple[int, int, int, int]] = []
-    start = 0
-    for stop in range(1, len(hits) + 1):
-        if stop < len(hits) and shift[stop] - shift[stop - 1] <= GAP:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns, in pieces that end where the first `keys` columns change. Rows come in order of these."""
+    rest: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
             continue
-        band = hits[start:stop]
-        start = stop
-        band = band[np.argsort(band[:, 2], kind="stable")]
-        rows = band.tolist()
-        for k, (f, l, c, r, l2, c2, r2) in enumerate(rows):
-            functions, low, high, low2, high2 = {f}, c, c, c2, c2
-            for f_, a, b, d, a2, b2, d2 in rows[k + 1 :]:
-                if b > r:
-                    break
-                x, y, x2, y2 = max(l, a), min(r, d), max(l2, a2), min(r2, d2)
-                if x > low or y < max(high, b) or x2 > min(low2, b2) or y2 < max(high2, b2) or y - x + 1 < least or y2 - x2 + 1 < least:
-                    continue
-                l, r, l2, r2 = x, y, x2, y2
-                high, low2, high2 = max(high, b), min(low2, b2), max(high2, b2)
-                functions.add(f_)
-                if len(functions) >= enough:
-                    break
-            if len(functions) >= enough:
-                if out and l <= out[-1][1] + 1 and l2 <= out[-1][3] + 1 and l >= out[-1][0] and l2 >= out[-1][2] - GAP:
-                    o = out[-1]
-                    out[-1] = (o[0], max(o[1], r), min(o[2], l2), max(o[3], r2))
-                else:
-                    out.append((l, r, l2, r2))
-    return out
+        now = [b.column(k).to_numpy() for k in range(b.num_columns)]
+        new = np.zeros(b.num_rows, bool)
+        for x in now[:keys]:
+            new[1:] |= x[1:] != x[:-1]
+        if rest:
+            new[0] = any(x[0] != y[-1] for x, y in zip(now[:keys], rest[-1]))
+        at = np.flatnonzero(new)
+        if not len(at):
+            rest.append(now)
+            continue
+        if rest or at[-1]:
+            yield [np.concatenate(x) for x in zip(*rest, [x[: at[-1]] for x in now])]
+        rest = [[x[at[-1] :] for x in now]]
+    if rest:
+        yield [np.concatenate(x) for x in zip(*rest)]
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of the contents of each h, in order of h."""
+    for h, content, l, r in _groups(batches, 1):
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+        later = ends[np.searchsorted(ends, np.arange(len(h)), "right")] - np.arange(len(h)) - 1
+        total = np.cumsum(later)
+        start = 0
+        while start < len(h):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")))
+            n = later[start:stop]
+            i = np.repeat(np.arange(start, stop), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            start = stop
+            if len(i):
+                less = content[i] < content[j]
+                i, j = np.where(less, i, j), np.where(less, j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (content[i], content[j], l[i], r[i], l[j], r[j])], ["a", "b", "l1", "r1", "l2", "r2"])
 
 
 def _candidates(enough: int, least: int):
+    """Spans (first and last token in a, in b) of `enough` windows at least that overlap by `least` tokens in a, one the next.
+
+    Rows come in order of a, b and l1.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            lists = lists.cast(lists.type)
-            edges = np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)
-            flat = lists.flatten()
-            hits = np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1) if len(flat) else np.zeros((0, 7), np.int64)
-            edges = edges - edges[0]
-            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = []
-            for k in range(b.num_rows):
-                for n, (l, r, l2, r2) in enumerate(_regions(hits[edges[k] : edges[k + 1]], enough, least)):
-                    rows.append((a[k], c[k], n, a[k], 0, l, r))
-                    rows.append((a[k], c[k], n, c[k], 1, l2, r2))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _ASKED.types)], schema=_ASKED)
+        for a, b, l1, r1, l2, r2 in _groups(batches, 2):
+            first = np.ones(len(a), bool)
+            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            far = np.cumsum(first) << 32
+            reached = np.maximum.accumulate(far + r1)
+            first[1:] |= far[1:] + l1[1:] + least - 1 > reached[:-1]
+            at = np.flatnonzero(first)
+            spans = [np.minimum.reduceat(l1, at), np.maximum.reduceat(r1, at), np.minimum.reduceat(l2, at), np.maximum.reduceat(r2, at)]
+            fits = np.diff(np.append(at, len(a))) >= enough
+            at, (x, x2, y, y2) = at[fits], (v[fits] for v in spans)
+            for k in range(0, len(at), PAIRS):
+                part = slice(k, k + PAIRS)
+                a_, b_, n = a[at[part]], b[at[part]], at[part].astype(np.int32)
+                for content, side, l, r in ((a_, 0, x[part], x2[part]), (b_, 1, y[part], y2[part])):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a_, b_, n, content, np.full(len(n), side, np.int32), l, r), _ASKED.types)], schema=_ASKED)
 
     return run
 
@@ -166,18 +177,26 @@ _ASKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("c
 _ASKED_SQL = "a long, b long, n int, content long, side int, l int, r int"
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["a", "b", "n", "side", "l", "tokens"])
+
+
 def _excerpts(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches):
             h, _, begin = _tokens(p, shingle)
             h = mix64(h).astype(np.uint32)
-            rows = []
-            for k, asked in enumerate(p.rows.column(p.rows.schema.get_field_index("asked")).to_pylist()):
-                for x in asked:
+            rows, size = [], 0
+            for k, asked in enumerate(p.rows.column(p.rows.schema.get_field_index("asked"))):
+                for x in asked.as_py():
                     rows.append((x["a"], x["b"], x["n"], x["side"], x["l"], h[begin[k] + x["l"] : begin[k] + x["r"] + 1].tobytes()))
+                    size += len(rows[-1][5]) + 64
+                    if size > EXCERPTS:
+                        yield _batch(rows)
+                        rows, size = [], 0
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["a", "b", "n", "side", "l", "tokens"])
+                yield _batch(rows)
 
     return run
 
@@ -236,15 +255,12 @@ def near_passages(texts: DataFrame, length: int, shingle: int, k: int, enough: i
     """Of texts (content, text): the verified pairs of passages, and (content, words) of contents that come more than once."""
     least = length - shingle + 1
     windows = texts.mapInArrow(_windows(length, shingle, k), "h long, content long, l int, c int, r int")
-    order = W.partitionBy("h").orderBy("content", "l")
-    spot = F.struct("content", "l", "c", "r")
-    near = windows.select("*", F.lag(spot).over(order).alias("prev"), F.first(spot).over(order).alias("head")).where("prev is not null")
-    near = near.where("content <> head.content or l < 0")
-    near = cut(near)
-    copies = near.where("l < 0").groupBy("content").agg(F.max("r").alias("words"))
-    ends = near.where("l >= 0").select(F.explode(F.array_distinct(F.array("prev", "head"))).alias("o"), "h", "content", "l", "c", "r").where("o.content <> content and o.l >= 0")
-    hit = F.struct(F.col("h").alias("f"), F.col("o.l").alias("l1"), F.col("o.c").alias("c1"), F.col("o.r").alias("r1"), F.col("l").alias("l2"), F.col("c").alias("c2"), F.col("r").alias("r2"))
-    pairs = ends.groupBy(F.col("o.content").alias("a"), F.col("content").alias("b")).agg(F.collect_set(hit).alias("hits")).where(F.size("hits") >= enough)
+    # by h alone, which holds for the groups of h and content too
+    held = windows.repartition("h").groupBy("h", "content").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    near = cut(held.select("*", F.count(F.lit(1)).over(W.partitionBy("h")).alias("m")).where("(l >= 0 and m > 1) or (l < 0 and n > 1)"))
+    copies = near.where("l < 0").select("content", F.col("r").alias("words"))
+    ends = near.where("l >= 0").select("h", "content", "l", "r").repartition("h").sortWithinPartitions("h")
+    pairs = ends.mapInArrow(_partners, "a long, b long, l1 int, r1 int, l2 int, r2 int").repartition("a", "b").sortWithinPartitions("a", "b", "l1")
     asked = pairs.mapInArrow(_candidates(enough, least), _ASKED_SQL)
     asked = asked.groupBy("content").agg(F.collect_list(F.struct("a", "b", "n", "side", "l", "r")).alias("asked"))
     cited = texts.join(asked, "content").dropDuplicates(["content"]).mapInArrow(_excerpts(shingle), "a long, b long, n int, side int, l int, tokens binary")
@@ -261,7 +277,7 @@ def _contents(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame
 
 def near_duplicate_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, start_word, n_words, other_id, other_start, other_words, jaccard): passages of `length` words at least that
-    another document has nearly, each with one or a few that it was found by, not with all.
+    another document has nearly, each with all of them that it was found by.
 
     doc_id's passage comes later than other_id's in the sense that other_id < doc_id. Documents of equal text are one,
     under their least id, and the others' whole texts are passages of it. Null and shorter texts have no passages;
@@ -314,7 +330,7 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     repeated row keeps its text.
     """
     found = _passages(docs, id, text, **how).where("not (doc_id <=> other_id)")
-    spans = found.select("doc_id", "content", F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("stop"))
+    spans = found.select("doc_id", "content", F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("stop")).distinct()
     spans = join_spans(spans, ["doc_id", "content"]).groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = cut(spans.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

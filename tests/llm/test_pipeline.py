@@ -31,3 +31,12 @@ def test_run(spark, corpus, tmp_path):
     assert sum(r.words for r in bins) == sum(len(t.split()) for t in cut.values())
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.chunk, r.words) for r in last) == sorted((r.doc_id, r.chunk, r.words) for r in bins)
+
+
+def test_a_passage_of_many_stays_once(spark):
+    rng = random.Random(21)
+    passage = words(rng, 100)
+    rows = [(k, " ".join(words(rng, 40) + passage + words(rng, 40))) for k in range(60)]
+    left = corpus_pipeline.remove_passages(spark, table(spark, rows), "").collect()
+    assert len(left) == 60 and [r.doc_id for r in left if " ".join(passage[:50]) in r.text] == [0]
+    assert not repeated([(r.doc_id, r.text) for r in left], 50)
