@@ -407,6 +407,29 @@ def test_near_passages(spark):
         assert len(x & y) / len(x | y) >= 0.6 and r.start_word >= 20 and r.jaccard == pytest.approx(len(x & y) / len(x | y))
 
 
+def test_all_partners_of_a_passage(spark):
+    rng = random.Random(13)
+    docs, groups = [], []
+    sentence = words(rng, 40)  # beside passages of their own, many hold it
+    for size in (10, 50):
+        for _ in range(3):
+            passage = words(rng, 100)
+            groups.append(range(len(docs), len(docs) + size))
+            for _ in range(size):
+                own = list(passage)
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+                docs.append(words(rng, 30) + own + words(rng, 30))
+    docs += [words(rng, 30) + sentence + words(rng, 30) for _ in range(300)]
+    beside = range(len(docs), len(docs) + 20)
+    for _ in range(10):
+        passage = words(rng, 10) + sentence + words(rng, 10)
+        docs += [words(rng, 30) + passage + words(rng, 30) for _ in range(2)]
+    found = {(r.doc_id, r.other_id) for r in compact_windows.near_duplicate_passages(table(spark, [(k, " ".join(d)) for k, d in enumerate(docs)])).collect()}
+    want = {(a, b) for g in groups for a in g for b in g if a > b}
+    assert len(found & want) >= 0.98 * len(want)
+    assert {(k + 1, k) for k in beside[::2]} <= found
+
+
 def test_cutting(spark, corpus):
     docs = table(spark, corpus)
     left = {r.doc_id: r for r in compact_windows.cut_passages(docs).collect()}
