@@ -3,8 +3,8 @@
 The matrix has a row for each distinct text and a column for each n-gram of words. Its product with its transpose
 holds the overlaps; only blocks that can hold a pair of Jaccard >= threshold are multiplied:
 
-1. Columns are sampled by hash, at a rate that falls with the row's size (a row is seen at its own rate and the next
-   lower one, so rows within a factor of two meet). A row that shares fewer sampled columns with any other than a
+1. Columns are sampled by hash, at a rate that falls with the row's size (a row is seen at its own rate and at as many
+   lower ones as a partner's size, 1 / threshold of its own at most, can lead to). A row that shares fewer sampled columns with any other than a
    partner must (its size's bound, less three standard errors) has no partner and is discarded. Of the others only
    the rarest columns count, up to the one by which a partner must have been met.
 2. Rows that meet in such a column and whose sizes fit each other are linked in order of size; connected
@@ -15,6 +15,7 @@ holds the overlaps; only blocks that can hold a pair of Jaccard >= threshold are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +45,16 @@ def row_grams(p: Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[at], row[at]
 
 
-def _views(n: int, sample: int):
+def _views(n: int, threshold: float, sample: int):
+    lower = math.ceil(math.log2(1 / threshold) - 1e-9)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches):
             grams, row = row_grams(p, n)
             size = np.bincount(row, minlength=p.rows.num_rows)
             level = np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / sample))).astype(np.int64)
             content = p.rows.column(0).to_numpy()
-            for more in (0, 1):
+            for more in range(lower + 1):
                 view = level[row] + more
                 kept = np.flatnonzero((view == 0) | (grams >> np.uint64(64) - np.maximum(view, 1).astype(np.uint64) == 0))
                 r, v = row[kept], view[kept]
@@ -64,7 +67,7 @@ def _views(n: int, sample: int):
 
 def _links(texts: DataFrame, n: int, threshold: float, sample: int) -> DataFrame:
     """(a, b): links between contents that may be similar, such that similar ones are connected."""
-    seen = texts.mapInArrow(_views(n, sample), "gram long, content long, view int, size int, m int")
+    seen = texts.mapInArrow(_views(n, threshold, sample), "gram long, content long, view int, size int, m int")
     by = W.partitionBy("gram")
     shared = seen.select("*", F.count(F.lit(1)).over(by).alias("df"), F.min("content").over(by).alias("lo"), F.max("content").over(by).alias("hi")).where("lo <> hi").drop("lo", "hi").dropDuplicates(["gram", "content"])
     t = threshold

@@ -194,6 +194,13 @@ def test_jaccard_pairs(spark, corpus, n, threshold, sample):
             assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
 
 
+@pytest.mark.parametrize("small,large", [(110, 260), (120, 299), (210, 520), (1100, 2600)])
+def test_contained_in_a_text_of_up_to_the_size_ratio(spark, small, large):
+    text = words(random.Random(15), large + 4, 10**6)
+    docs = table(spark, [(1, " ".join(text[: small + 4])), (2, " ".join(text))])
+    assert [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.jaccard_pairs(docs).collect()] == [(1, 2, pytest.approx(small / large))]
+
+
 def test_tiles(spark, corpus, monkeypatch):
     whole = sorted(map(tuple, ngram_join.jaccard_pairs(table(spark, corpus)).collect()))
     monkeypatch.setattr(ngram_join, "TILE", 2)
