@@ -213,27 +213,36 @@ def _runs(hit: np.ndarray, gap: int) -> list[tuple[int, int]]:
 def verify(x: np.ndarray, y: np.ndarray, least: int, similar: float, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
     """(first, last in x, first, last in y, Jaccard) of the passages of at least `least` tokens that x and y share nearly.
 
-    Runs of tokens of x that y has, cut where more than gap others follow one another; against each, y's likewise. A run
-    that has no partner of enough Jaccard is cut at shorter gaps, down to the tokens that are shared without a break.
+    Runs of tokens of x that y has, cut where more than gap others follow one another; against each, y's likewise, all of
+    them. Each pair of runs is cut further by what the other has, until nothing more is cut off on either side; one that
+    has too little Jaccard then is cut at shorter gaps, down to the tokens that are shared without a break.
     """
-    out = []
-    for a, b in _runs(np.isin(x, y), gap):
-        if b - a + 1 < least:
-            continue
-        best = None
-        part = np.unique(x[a : b + 1])
-        for c, d in _runs(np.isin(y, part), gap):
-            if d - c + 1 >= least:
-                other = np.unique(y[c : d + 1])
-                common = len(np.intersect1d(part, other, assume_unique=True))
-                j = common / (len(part) + len(other) - common)
-                if j >= similar and (best is None or j > best[4]):
-                    best = (a, b, c, d, j)
-        if best:
-            out.append(best)
-        elif gap:
-            out += [(a + p, a + q, c, d, j) for p, q, c, d, j in verify(x[a : b + 1], y, least, similar, gap // 2)]
-    return out
+
+    def jaccard(a: int, b: int, c: int, d: int) -> float:
+        part, other = np.unique(x[a : b + 1]), np.unique(y[c : d + 1])
+        common = len(np.intersect1d(part, other, assume_unique=True))
+        return common / (len(part) + len(other) - common)
+
+    def within(a: int, b: int, c: int, d: int, gap: int) -> list[tuple[int, int, int, int]]:
+        """Runs of x[a..b] that y[c..d] has, each with the runs of y[c..d] that it has."""
+        found = []
+        for p, q in _runs(np.isin(x[a : b + 1], y[c : d + 1]), gap):
+            if q - p + 1 >= least:
+                for s, t in _runs(np.isin(y[c : d + 1], x[a + p : a + q + 1]), gap):
+                    if t - s + 1 >= least:
+                        found.append((a + p, a + q, c + s, c + t))
+        return found
+
+    def cut_down(whole: tuple[int, int, int, int], gap: int) -> list[tuple[int, int, int, int, float]]:
+        parts = within(*whole, gap)
+        out = [v for part in parts if part != whole for v in cut_down(part, gap)]
+        if not out and (j := jaccard(*whole)) >= similar:
+            return [(*whole, j)]
+        return out or (cut_down(whole, gap // 2) if gap else [])
+
+    if not len(x) or not len(y):
+        return []
+    return sorted({v for part in within(0, len(x) - 1, 0, len(y) - 1, gap) for v in cut_down(part, gap)})
 
 
 def _verify(shingle: int, least: int, similar: float):

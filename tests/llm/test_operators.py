@@ -448,6 +448,21 @@ def test_cutting(spark, corpus):
     assert all(r.n_chars == len(r.text) for r in left.values())
 
 
+def test_verified_parts_of_longer_runs():
+    rng = np.random.default_rng(14)
+    new = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    a, b = new(120), new(70)
+    spans = lambda x, y: {v[:4] for v in compact_windows.verify(x, y, 46, 0.6)}
+    whole, parts = np.concatenate([a, b]), np.concatenate([a, new(40), b])
+    assert spans(whole, parts) == {(0, 119, 0, 119), (120, 189, 160, 229)}
+    assert spans(parts, whole) == {(0, 119, 0, 119), (160, 229, 120, 189)}
+    once, twice = np.concatenate([new(9), b, new(9)]), np.concatenate([b, new(40), b])
+    assert spans(once, twice) == {(9, 78, 0, 69), (9, 78, 110, 179)}
+    assert spans(twice, once) == {(0, 69, 9, 78), (110, 179, 9, 78)}
+    c = new(70)  # thirds of a run, none of which is enough of it by itself
+    assert spans(np.concatenate([b, a[:60], c]), np.concatenate([c, new(40), a[:60], new(40), b])) == {(0, 69, 210, 279), (70, 129, 110, 169), (130, 199, 0, 69)}
+
+
 # --- what they share -------------------------------------------------------------------------------------------------
 
 
