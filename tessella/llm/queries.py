@@ -27,10 +27,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept."""
+    """Every document's posteriors; keep says which are kept."""
     docs = _table(spark, sf_dir, "documents")
     weights = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.posteriors(docs, weights).where("keep")
+    return quality.posteriors(docs, weights)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

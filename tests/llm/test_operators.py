@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessella.llm import bpe, compact_windows, exact_dedup, graph, media, ngram_join, packing, quality, sharding, suffix_dedup, textkit, toxicity
+from tessella.llm import bpe, compact_windows, exact_dedup, graph, media, ngram_join, packing, quality, queries, sharding, suffix_dedup, textkit, toxicity
 
 from .conftest import table, words
 
@@ -142,6 +142,15 @@ def test_quality_held_out(spark):
     assert right > 0.95
 
 
+def test_rejected_documents_have_posteriors(spark, tmp_path):
+    rows = labelled(random.Random(16), 200)
+    table(spark, [(i, t) for i, t, _ in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op4_quality(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows) and {r.keep for r in got} == {True, False}
+    assert all(r.keep == (r.quality >= 0.5) for r in got)
+
+
 def test_posteriors_by_hand(spark, monkeypatch):
     docs = table(spark, [(k, "a b") for k in range(9)])
     scores = {k: (k % 3 + 1) / 4 for k in range(9)}
