@@ -3,9 +3,10 @@
 The matrix has a row for each distinct text and a column for each n-gram of words. Its product with its transpose
 holds the overlaps; only blocks that can hold a pair of Jaccard >= threshold are multiplied:
 
-1. Columns are sampled by hash, at a rate that falls with the row's size (a row is seen at its own rate and at as many
-   lower ones as a partner's size, 1 / threshold of its own at most, can lead to). A row that shares fewer sampled columns with any other than a
-   partner must (its size's bound, less three standard errors) has no partner and is discarded. Of the others only
+1. Columns are sampled by hash, at a rate that falls with the row's size (a row is seen at its own rate and at those
+   of all larger sizes that a partner can have, up to 1 / threshold of its own). A row that shares fewer sampled columns
+   with any other than a partner must (the bound by its size, at a lower rate also by the least size that is sampled so,
+   less three standard errors) has no partner and is discarded. Of the others only
    the rarest columns count, up to the one by which a partner must have been met.
 2. Rows that meet in such a column and whose sizes fit each other are linked in order of size; connected
    components of these links are the diagonal blocks.
@@ -56,7 +57,8 @@ def _views(n: int, threshold: float, sample: int):
             content = p.rows.column(0).to_numpy()
             for more in range(lower + 1):
                 view = level[row] + more
-                kept = np.flatnonzero((view == 0) | (grams >> np.uint64(64) - np.maximum(view, 1).astype(np.uint64) == 0))
+                met = (more == 0) | (size[row] >= threshold * sample * 2.0**view - 1e-6)
+                kept = np.flatnonzero(met & ((view == 0) | (grams >> np.uint64(64) - np.maximum(view, 1).astype(np.uint64) == 0)))
                 r, v = row[kept], view[kept]
                 m = np.bincount(r, minlength=p.rows.num_rows)
                 key = mix64(grams[kept] + v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -71,7 +73,10 @@ def _links(texts: DataFrame, n: int, threshold: float, sample: int) -> DataFrame
     by = W.partitionBy("gram")
     shared = seen.select("*", F.count(F.lit(1)).over(by).alias("df"), F.min("content").over(by).alias("lo"), F.max("content").over(by).alias("hi")).where("lo <> hi").drop("lo", "hi").dropDuplicates(["gram", "content"])
     t = threshold
-    bound = F.when(F.col("view") == 0, F.ceil(F.lit(t) * F.col("m"))).otherwise(F.floor(t * F.col("m") - 3 * F.sqrt(F.col("m") * t * (1 - t))))
+    # at a lower rate than its own, a row has only partners of that rate's sizes to meet
+    larger = F.lit(float(sample)) * F.pow(F.lit(2.0), F.col("view"))
+    share = F.when(F.col("size") >= larger, F.lit(t)).otherwise(F.least(F.lit(1.0), t / (1 + t) * (1 + larger / F.col("size"))))
+    bound = F.when(F.col("view") == 0, F.ceil(F.lit(t) * F.col("m"))).otherwise(F.floor(share * F.col("m") - 3 * F.sqrt(F.col("m") * share * (1 - share))))
     own = W.partitionBy("content", "view")
     ranked = shared.select("*", F.row_number().over(own.orderBy("df", "gram")).alias("rank"), F.count(F.lit(1)).over(own).alias("met"))
     prefix = ranked.where(F.col("rank") <= F.col("met") - F.greatest(bound, F.lit(1)) + 1)
