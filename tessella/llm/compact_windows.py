@@ -5,11 +5,15 @@ position c, the widest span [l, r] in which c has the least hash: all passages [
 the same min-hash, so the window (l, c, r) stands for all of them. Only windows as wide as a passage are kept, about
 2 / (least tokens + 1) of the positions.
 
-1. Windows of equal min-hash in different texts are joined, each with all others of the group; a text's windows of one
-   min-hash count as one from the first to the last of them.
-2. For each pair of texts, ENOUGH such windows at least must overlap by a passage, one the next; what they span in both
-   texts are the candidates.
+1. Windows of equal min-hash are grouped. In a group of up to HOT texts all pairs are joined; for each pair of texts, ENOUGH
+   such windows at least must overlap by a passage, one the next, and what they span in both is a candidate.
+2. A group of more texts sends the tokens around the min-hash, once for each text. They are clustered in order of the texts' least
+   ids: the first is compared with all others, those that it resembles closely join its class, all others are compared among
+   themselves again, until nobody is left who shares a passage's tokens with another. No member is left out.
 3. Candidates are cut to runs of tokens that the other side has too, and verified: Jaccard of the tokens >= SIMILAR.
+
+A min-hash that is common in one piece of a map task's input is seen to be so there: its windows are spread by text, and only a
+mark goes to the group, so no task gets all windows of a sentence that a third of the rows have.
 """
 
 from __future__ import annotations
@@ -19,14 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .graph import components
 from .runtime import cut
 from .suffix_dedup import join_spans
 from .textkit import gram_hashes, mix64, pieces, signed, window_min
 
 LENGTH, SHINGLE, K, ENOUGH, SIMILAR, GAP = 50, 5, 5, 2, 0.6, 16
-#: Pairs in one batch, and bytes of excerpts.
-PAIRS, EXCERPTS = 1 << 17, 1 << 24
+#: Members up to which a group is joined pair by pair, and tokens on either side of a min-hash that a larger group compares.
+HOT, REACH = 48, 64
+#: Jaccard from which a member needs no comparison with others than the first of its class.
+CLOSE = 0.8
+#: Pairs in one batch, bytes of excerpts, and rows of a group that are clustered at a time.
+PAIRS, EXCERPTS, CHUNK = 1 << 17, 1 << 24, 1 << 15
+#: A window's bounds as distances from its min-hash are at most this: a passage that reaches further is found in parts.
+FAR = (1 << 16) - 1
+#: Spans that aren't windows: this one marks a group as large; from WHOLE on they give a whole text's words.
+MARK, WHOLE = -1, -(1 << 62)
 
 
 def _span(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +95,23 @@ def _tokens(p, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(count)), count + 1), begin
 
 
-def _windows(length: int, shingle: int, k: int):
+def _packed(l: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """c, c - l and r - c in one number, not negative."""
+    return c << 32 | np.minimum(c - l, FAR) << 16 | np.minimum(r - c, FAR)
+
+
+def _unpacked(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    c = span >> 32
+    return c - (span >> 16 & FAR), c, c + (span & FAR)
+
+
+def _windows(length: int, shingle: int, k: int, hot: int):
+    """(h, content, span): the windows; those that more than `hot` texts of a piece share have a span below MARK, and a mark each."""
     least = length - shingle + 1
 
+    def batch(h: np.ndarray, content: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(content), pa.array(span)], ["h", "content", "span"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches):
             content = p.rows.column(0).to_numpy()
@@ -94,13 +122,26 @@ def _windows(length: int, shingle: int, k: int):
                 l, c, r = compact_windows(own, least)
                 rows = row[c - 1] if len(c) else c
                 at = begin[rows]
-                # l, c, r in one number: begins need 28 bits at most, as a text has less than 2**31 bytes
-                yield pa.RecordBatch.from_arrays([pa.array(signed(own[c])), pa.array(content[rows]), pa.array((l - at).astype(np.int32)), pa.array((c - at).astype(np.int32)), pa.array((r - at).astype(np.int32))], ["h", "content", "l", "c", "r"])
+                value, whose, span = own[c], content[rows], _packed(l - at, c - at, r - at)
+                # texts of each min-hash within the piece; a text's windows come one after another
+                order = np.lexsort((whose, value))
+                v, w = value[order], whose[order]
+                new = np.ones(len(v), bool)
+                new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+                first = np.ones(len(v), bool)
+                first[1:] = v[1:] != v[:-1]
+                group = np.cumsum(first) - 1
+                many = np.bincount(group[new], minlength=int(group[-1]) + 1 if len(group) else 0) > hot
+                common = np.zeros(len(v), bool)
+                common[order] = many[group]
+                yield batch(value, whose, np.where(common, -2 - span, span))
+                marked = v[first][many]
+                if len(marked):
+                    yield batch(marked, np.zeros(len(marked), np.int64), np.full(len(marked), MARK))
             count = np.diff(begin) - 1
             whole = np.flatnonzero(count >= least)
             mark = mix64(content[whole].view(np.uint64) + np.uint64(length))
-            zero = np.zeros(len(whole), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mark)), pa.array(content[whole]), pa.array(zero - 1), pa.array(zero), pa.array((count[whole] + shingle - 1).astype(np.int32))], ["h", "content", "l", "c", "r"])
+            yield batch(mark, content[whole], WHOLE + count[whole] + shingle - 1)
 
     return run
 
@@ -128,10 +169,72 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
         yield [np.concatenate(x) for x in zip(*rest)]
 
 
-def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of the contents of each h, in order of h."""
-    for h, content, l, r in _groups(batches, 1):
-        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+def _meet(batches: Iterator[pa.RecordBatch], hot: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """What windows in order of h give: (null, a, b, spans) of pairs, (h, a, null, span) of the members of large groups, and
+    (null, a, null, words) of texts that come more than once.
+    """
+
+    def batch(h, a, b, *spans) -> pa.RecordBatch:
+        n = len(a)
+        arrays = [pa.nulls(n, pa.int64()) if h is None else pa.array(h, pa.int64()), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64())]
+        arrays += [pa.array(s, pa.int32()) if k < len(spans) else pa.nulls(n, pa.int32()) for k, s in enumerate([*spans, *[None] * (4 - len(spans))])]
+        return pa.RecordBatch.from_arrays(arrays, schema=_MET)
+
+    def starts(*keys: np.ndarray) -> np.ndarray:
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        return np.flatnonzero(new)
+
+    for h, content, span in _groups(batches, 1):
+        alike = np.zeros(len(h), bool)
+        alike[1:] = h[1:] == h[:-1]
+        alike[:-1] |= alike[1:]
+        alike |= span < MARK  # a spread window's group is elsewhere
+        h, content, span = h[alike], content[alike], span[alike]
+        words = span < WHOLE // 2
+        if words.any():
+            at = starts(h[words])
+            several = np.diff(np.append(at, words.sum())) > 1
+            at = at[several]
+            if len(at):
+                yield batch(None, content[words][at], None, (span[words][at] - WHOLE).astype(np.int32))
+            h, content, span = h[~words], content[~words], span[~words]
+        if not len(h):
+            continue
+        order = np.lexsort((np.where(span < MARK, -2 - span, span), content, h))
+        h, content, span = h[order], content[order], span[order]
+        mark, spread = span == MARK, span < MARK
+        group = starts(h)
+        size = np.diff(np.append(group, len(h)))
+        large = np.repeat(np.logical_or.reduceat(mark, group), size) | spread
+        h, content, span, large = (x[~mark] for x in (h, content, np.where(spread, -2 - span, span), large))
+        if not len(h):
+            continue
+        member = starts(h, content)
+        of = starts(h[member])
+        m = np.diff(np.append(of, len(member)))
+        large |= np.repeat(np.repeat(m > hot, m), np.diff(np.append(member, len(h))))
+        l, c, r = _unpacked(span)
+        # members of large groups: what is around their min-hashes, joined where it overlaps
+        k = np.flatnonzero(large)
+        if len(k):
+            lo, hi = np.maximum(l[k], c[k] - reach), np.minimum(r[k], c[k] + reach)
+            new = np.zeros(len(k), bool)
+            new[starts(h[k], content[k])] = True
+            far = np.cumsum(new) << 32
+            reached = np.maximum.accumulate(far + hi)
+            new[1:] |= (far + lo)[1:] > reached[:-1]
+            at = np.flatnonzero(new)
+            yield batch(h[k][at], content[k][at], None, np.minimum.reduceat(lo, at).astype(np.int32), np.maximum.reduceat(hi, at).astype(np.int32))
+        # all pairs of the others
+        k = np.flatnonzero(~large)
+        if not len(k):
+            continue
+        at = starts(h[k], content[k])
+        h, content, l, r = h[k][at], content[k][at], np.minimum.reduceat(l[k], at).astype(np.int32), np.maximum.reduceat(r[k], at).astype(np.int32)
+        ends = np.append(starts(h)[1:], len(h))
         later = ends[np.searchsorted(ends, np.arange(len(h)), "right")] - np.arange(len(h)) - 1
         total = np.cumsum(later)
         start = 0
@@ -142,15 +245,16 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             start = stop
             if len(i):
-                less = content[i] < content[j]
-                i, j = np.where(less, i, j), np.where(less, j, i)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (content[i], content[j], l[i], r[i], l[j], r[j])], ["a", "b", "l1", "r1", "l2", "r2"])
+                yield batch(None, content[i], content[j], l[i], r[i], l[j], r[j])
+
+
+_MET = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *((x, pa.int32()) for x in ("l1", "r1", "l2", "r2"))])
 
 
 def _candidates(enough: int, least: int):
     """Spans (first and last token in a, in b) of `enough` windows at least that overlap by `least` tokens in a, one the next.
 
-    Rows come in order of a, b and l1.
+    Rows come in order of a, b and l1. Both sides of a candidate have its number g.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,42 +265,37 @@ def _candidates(enough: int, least: int):
             reached = np.maximum.accumulate(far + r1)
             first[1:] |= far[1:] + l1[1:] + least - 1 > reached[:-1]
             at = np.flatnonzero(first)
-            spans = [np.minimum.reduceat(l1, at), np.maximum.reduceat(r1, at), np.minimum.reduceat(l2, at), np.maximum.reduceat(r2, at)]
+            x, x2, y, y2 = np.minimum.reduceat(l1, at), np.maximum.reduceat(r1, at), np.minimum.reduceat(l2, at), np.maximum.reduceat(r2, at)
             fits = np.diff(np.append(at, len(a))) >= enough
-            at, (x, x2, y, y2) = at[fits], (v[fits] for v in spans)
-            for k in range(0, len(at), PAIRS):
-                part = slice(k, k + PAIRS)
-                a_, b_, n = a[at[part]], b[at[part]], at[part].astype(np.int32)
-                for content, side, l, r in ((a_, 0, x[part], x2[part]), (b_, 1, y[part], y2[part])):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a_, b_, n, content, np.full(len(n), side, np.int32), l, r), _ASKED.types)], schema=_ASKED)
+            a, b, x, x2, y, y2 = (v[fits] for v in (a[at], b[at], x, x2, y, y2))
+            g = signed(mix64(mix64(a.view(np.uint64)) + b.view(np.uint64)) + x.astype(np.uint64))
+            for content, l, r in ((a, x, x2), (b, y, y2)):
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(content), pa.array(l), pa.array(r)], ["g", "content", "l", "r"])
 
     return run
 
 
-_ASKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("content", pa.int64()), ("side", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])
-_ASKED_SQL = "a long, b long, n int, content long, side int, l int, r int"
+def _excerpts(shingle: int, name: pa.DataType):
+    schema = pa.schema([("pair", pa.bool_()), ("g", pa.int64()), ("name", name), ("content", pa.int64()), ("l", pa.int32()), ("tokens", pa.binary())])
 
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["a", "b", "n", "side", "l", "tokens"])
-
-
-def _excerpts(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches):
             h, _, begin = _tokens(p, shingle)
             h = mix64(h).astype(np.uint32)
-            rows, size = [], 0
-            for k, asked in enumerate(p.rows.column(p.rows.schema.get_field_index("asked"))):
-                for x in asked.as_py():
-                    rows.append((x["a"], x["b"], x["n"], x["side"], x["l"], h[begin[k] + x["l"] : begin[k] + x["r"] + 1].tobytes()))
-                    size += len(rows[-1][5]) + 64
-                    if size > EXCERPTS:
-                        yield _batch(rows)
-                        rows, size = [], 0
-            if rows:
-                yield _batch(rows)
+            column = lambda c: p.rows.column(p.rows.schema.get_field_index(c))
+            asked, content, names = column("asked"), column("content").to_numpy(), column("name")
+            offsets, items = asked.offsets.to_numpy(), asked.flatten()
+            row = np.repeat(np.arange(len(asked)), np.diff(offsets))
+            l, r = (items.field(c).to_numpy() for c in ("l", "r"))
+            start = 0
+            size = np.cumsum(4 * (r - l + 1) + 64)
+            while start < len(row):
+                stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + EXCERPTS, "right")))
+                part = slice(start, stop)
+                start = stop
+                at = begin[row[part]]
+                tokens = [h[x:y].tobytes() for x, y in zip((at + l[part]).tolist(), (at + r[part] + 1).tolist())]
+                yield pa.RecordBatch.from_arrays([items.field("pair")[part], items.field("g")[part], names.take(pa.array(row[part])), pa.array(content[row[part]]), pa.array(l[part]), pa.array(tokens, pa.binary())], schema=schema)
 
     return run
 
@@ -245,75 +344,168 @@ def verify(x: np.ndarray, y: np.ndarray, least: int, similar: float, gap: int =
     return sorted({v for part in within(0, len(x) - 1, 0, len(y) - 1, gap) for v in cut_down(part, gap)})
 
 
-def _verify(shingle: int, least: int, similar: float):
+def _classes(content: np.ndarray, tokens: list[np.ndarray], least: int, similar: float, close: float, gap: int = GAP) -> list[tuple]:
+    """(i, j, first, last in i, first, last in j, Jaccard) of rows i < j of a group, from each class's first row to its members.
+
+    Row i is compared with all after it; those that have nearly all of their shared tokens from it in one passage of Jaccard
+    >= close are of its class and compared with no other. Rows that share too few tokens with other texts for any passage are dropped first.
+    """
+    need = int(np.ceil(2 * least * similar / (1 + similar) - 1e-9))
+    size = np.array([len(t) for t in tokens])
+    row = np.repeat(np.arange(len(tokens)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    values, token = np.unique(np.concatenate(tokens), return_inverse=True)
+    alive = np.ones(len(tokens), bool)
+    where = np.full(len(values), -1)
+    found, since, held = [], 0, len(tokens)
+
+    def prune() -> None:
+        nonlocal row, place, token, held
+        while True:
+            # a token counts if rows of two texts have it
+            by = np.lexsort((content[row], token))
+            t, c = token[by], content[row[by]]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            shared = np.bincount(t[new], minlength=len(values))[token] > 1
+            keep = (np.bincount(row[shared], minlength=len(alive)) >= need) & alive
+            done = keep[row].all() if len(row) else True
+            alive[:] = keep
+            row, place, token = (x[shared & keep[row]] for x in (row, place, token))
+            if done:
+                held = int(alive.sum())
+                return
+
+    prune()
+    for i in range(len(tokens)):
+        if not alive[i]:
+            continue
+        alive[i] = False
+        own = row == i
+        where[token[own]] = place[own]
+        rest = (row > i) & alive[row]
+        hit = rest & (where[token] >= 0)
+        at = np.flatnonzero(hit)
+        if len(at):
+            r, x, y = row[at], where[token[at]], place[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (r[1:] != r[:-1]) | (np.diff(y) > gap + 1)
+            s = np.flatnonzero(new)
+            n = np.diff(np.append(s, len(at)))
+            j, y1, y2 = r[s], y[s], y[np.append(s[1:], len(at)) - 1]
+            x1, x2 = np.minimum.reduceat(x, s), np.maximum.reduceat(x, s)
+            long = (y2 - y1 + 1 >= least) & (n >= need / 2) & (content[j] != content[i])
+            likeness = np.minimum(n / np.maximum((y2 - y1 + 1) + (x2 - x1 + 1) - n, 1), 1.0)
+            good = long & (x2 - x1 + 1 >= least) & (likeness >= similar)
+            found += zip([i] * int(good.sum()), j[good].tolist(), x1[good].tolist(), x2[good].tolist(), y1[good].tolist(), y2[good].tolist(), likeness[good].tolist())
+            for other in np.unique(j[long & ~good]).tolist():
+                found += [(i, other, *v) for v in verify(tokens[i], tokens[other], least, similar, gap)]
+            left = np.bincount(row[rest], minlength=len(alive))
+            taken = np.bincount(j[good & (likeness >= close)], n[good & (likeness >= close)], minlength=len(alive))
+            alive[(taken > 0) & (taken >= close * left)] = False
+        where[token[own]] = -1
+        since += 1
+        if since >= 64 or alive.sum() * 2 < held:
+            since = 0
+            prune()
+    return found
+
+
+def _links(shingle: int, least: int, similar: float):
+    """Verified links from rows in order of pair, g and name."""
+
+    def compare(pair: bool, content: np.ndarray, l: np.ndarray, tokens: list[np.ndarray]) -> list[tuple]:
+        if pair:
+            other = np.flatnonzero(content != content[0])
+            found = [(0, other[0], *v) for v in verify(tokens[0], tokens[other[0]], least, similar)] if len(other) else []
+        else:
+            found = _classes(content, tokens, least, similar, CLOSE)
+        return [(int(content[i]), int(content[j]), int(l[i]) + a, int(l[i]) + b + shingle, int(l[j]) + c, int(l[j]) + d + shingle, x) for i, j, a, b, c, d, x in found]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def finish() -> None:
+            # a repeated row of documents gives a row again
+            once = list(dict.fromkeys((c, l, t) for c, l, t in rows))
+            if len(once) > 1:
+                content, l = np.array([x[0] for x in once]), np.array([x[1] for x in once])
+                out.extend(compare(key[0], content, l, [np.frombuffer(x[2], np.uint32) for x in once]))
+
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x, y = np.frombuffer(r["x"], np.uint32), np.frombuffer(r["y"], np.uint32)
-                for a, b, c, d, j in verify(x, y, least, similar):
-                    rows.append((r["a"], r["b"], r["xl"] + a, r["xl"] + b + shingle, r["yl"] + c, r["yl"] + d + shingle, j))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["a", "b", "a_start", "a_stop", "b_start", "b_stop", "jaccard"])
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pair", "g", "content", "l", "tokens")]
+            for pair, g, *r in zip(*columns):
+                if key != (pair, g):
+                    finish()
+                    key, rows = (pair, g), []
+                rows.append(r)
+            if len(out) > PAIRS:
+                yield _linked(out)
+                out = []
+        finish()
+        if out:
+            yield _linked(out)
 
     return run
 
 
-def near_passages(texts: DataFrame, length: int, shingle: int, k: int, enough: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """Of texts (content, text): the verified pairs of passages, and (content, words) of contents that come more than once."""
+def _linked(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["a", "b", "a_start", "a_stop", "b_start", "b_stop", "jaccard"])
+
+
+def near_passages(docs: DataFrame, id: str, text: str, length: int = LENGTH, shingle: int = SHINGLE, k: int = K, enough: int = ENOUGH, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The verified links (a, b, their spans in words, jaccard) of different texts, a that of the lesser name; (content, words) of
+    texts that come more than once; and (content, name, n_copies), the least id of each text.
+    """
     least = length - shingle + 1
-    windows = texts.mapInArrow(_windows(length, shingle, k), "h long, content long, l int, c int, r int")
-    # by h alone, which holds for the groups of h and content too
-    held = windows.repartition("h").groupBy("h", "content").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
-    near = cut(held.select("*", F.count(F.lit(1)).over(W.partitionBy("h")).alias("m")).where("(l >= 0 and m > 1) or (l < 0 and n > 1)"))
-    copies = near.where("l < 0").select("content", F.col("r").alias("words"))
-    ends = near.where("l >= 0").select("h", "content", "l", "r").repartition("h").sortWithinPartitions("h")
-    pairs = ends.mapInArrow(_partners, "a long, b long, l1 int, r1 int, l2 int, r2 int").repartition("a", "b").sortWithinPartitions("a", "b", "l1")
-    asked = pairs.mapInArrow(_candidates(enough, least), _ASKED_SQL)
-    asked = asked.groupBy("content").agg(F.collect_list(F.struct("a", "b", "n", "side", "l", "r")).alias("asked"))
-    cited = texts.join(asked, "content").dropDuplicates(["content"]).mapInArrow(_excerpts(shingle), "a long, b long, n int, side int, l int, tokens binary")
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    both = cited.groupBy("a", "b", "n").agg(side(0, "tokens").alias("x"), side(0, "l").alias("xl"), side(1, "tokens").alias("y"), side(1, "l").alias("yl"))
-    return both.mapInArrow(_verify(shingle, least, similar), "a long, b long, a_start int, a_stop int, b_start int, b_stop int, jaccard double"), copies
-
-
-def _contents(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("content"), F.col(id).alias("doc_id"))
-    return texts, rows
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("content"), F.col(id).alias("name"), F.col(text).alias("text"))
+    names = rows.groupBy("content").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n_copies"))
+    windows = rows.select("content", "text").mapInArrow(_windows(length, shingle, k, HOT), "h long, content long, span long")
+    spread = (F.col("span") < MARK) & (F.col("span") > WHOLE // 2)
+    laid = windows.repartition(F.when(spread, F.xxhash64("content", "h")).otherwise(F.col("h"))).sortWithinPartitions("h")
+    met = cut(laid.mapInArrow(lambda batches: _meet(batches, HOT, REACH), "h long, a long, b long, l1 int, r1 int, l2 int, r2 int"))
+    copies = met.where("h is null and b is null").select(F.col("a").alias("content"), F.col("l1").alias("words")).distinct()
+    pairs = met.where("b is not null").drop("h").repartition("a", "b").sortWithinPartitions("a", "b", "l1")
+    near = pairs.mapInArrow(_candidates(enough, least), "g long, content long, l int, r int").select(F.lit(True).alias("pair"), "g", "content", "l", "r")
+    large = met.where("h is not null").select(F.lit(False).alias("pair"), F.col("h").alias("g"), F.col("a").alias("content"), F.col("l1").alias("l"), F.col("r1").alias("r"))
+    asked = near.unionByName(large).groupBy("content").agg(F.collect_list(F.struct("pair", "g", "l", "r")).alias("asked"))
+    asked = asked.join(names.select("content", "name"), "content").withColumnRenamed("name", "_name")
+    cited = rows.join(asked, "content").where(F.col("name").eqNullSafe(F.col("_name"))).drop("_name")
+    kind = cited.schema["name"].dataType
+    excerpts = cited.mapInArrow(_excerpts(shingle, to_arrow_type(kind)), f"pair boolean, g long, name {kind.simpleString()}, content long, l int, tokens binary")
+    laid = excerpts.repartition("pair", "g").sortWithinPartitions("pair", "g", F.col("name").asc_nulls_last(), "content", "l")
+    links = laid.select("pair", "g", "content", "l", "tokens").mapInArrow(_links(shingle, least, similar), "a long, b long, a_start int, a_stop int, b_start int, b_stop int, jaccard double")
+    return cut(links), copies, names
 
 
 def near_duplicate_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """(doc_id, start_word, n_words, other_id, other_start, other_words, jaccard): passages of `length` words at least that
-    another document has nearly, each with all of them that it was found by.
-
-    doc_id's passage comes later than other_id's in the sense that other_id < doc_id. Documents of equal text are one,
-    under their least id, and the others' whole texts are passages of it. Null and shorter texts have no passages;
-    null ids stay null, a repeated row is a copy. `how`: length, shingle, k, enough, similar, as the constants above.
+    """(doc_id, start_word, n_words, class_id, n_links, n_copies): the passages of `length` words at least that another text
+    has nearly, or that are the whole of a text which comes again.
+
+    A document's passages that overlap or touch are one. n_links counts a passage's verified links to other texts' passages: all in
+    groups of up to HOT texts, in larger ones those to the first of each class. class_id is the least id that links lead to, so that
+    linked passages have the same class; n_copies counts the rows of this very text, each of which has rows here. Null and shorter
+    texts have no passages; null ids come last in order and stay null, a repeated row is a copy; extra columns don't matter; very long
+    texts are taken whole; no rows give no rows. `how`: length, shingle, k, enough, similar, as the constants above.
     """
-    return _passages(docs, id, text, **how).drop("content")
-
-
-def _passages(docs: DataFrame, id: str, text: str, length: int = LENGTH, shingle: int = SHINGLE, k: int = K, enough: int = ENOUGH, similar: float = SIMILAR) -> DataFrame:
-    """near_duplicate_passages with the hash of doc_id's text as content."""
-    texts, rows = _contents(docs, id, text)
-    found, copies = near_passages(texts, length, shingle, k, enough, similar)
-    names = rows.groupBy("content").agg(F.min("doc_id").alias("name"))
-    a = names.select(F.col("content").alias("a"), F.col("name").alias("a_name"))
-    b = names.select(F.col("content").alias("b"), F.col("name").alias("b_name"))
-    named = found.join(a, "a").join(b, "b")
-    later = F.coalesce(F.col("a_name") > F.col("b_name"), F.col("a_name").isNull())
-    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
-    out = named.select(
-        pick("a", "b").alias("content"), pick("a_name", "b_name").alias("doc_id"), pick("a_start", "b_start").alias("start_word"), (pick("a_stop", "b_stop") - pick("a_start", "b_start")).alias("n_words"),
-        pick("b_name", "a_name").alias("other_id"), pick("b_start", "a_start").alias("other_start"), (pick("b_stop", "a_stop") - pick("b_start", "a_start")).alias("other_words"), "jaccard",
-    )
-    order = W.partitionBy("content").orderBy(F.col("doc_id").asc_nulls_last())
-    whole = rows.join(copies, "content").select("content", "doc_id", "words", F.row_number().over(order).alias("k"), F.first("doc_id").over(order).alias("name")).where("k > 1")
-    zero = F.lit(0)
-    whole = whole.select("content", "doc_id", zero.alias("start_word"), F.col("words").alias("n_words"), F.col("name").alias("other_id"), zero.alias("other_start"), F.col("words").alias("other_words"), F.lit(1.0).alias("jaccard"))
-    return out.unionByName(whole)
+    links, copies, names = near_passages(docs, id, text, **how)
+    numbered = links.select("*", F.xxhash64("a", "b", "a_start", "b_start", "a_stop", "b_stop").alias("link")).dropDuplicates(["link"])
+    ends = numbered.select(F.explode(F.array(*[F.struct(F.col(s).alias("content"), F.col(f"{s}_start").alias("start"), F.col(f"{s}_stop").alias("stop"), "link") for s in "ab"])).alias("e")).select("e.*")
+    ends = ends.unionByName(copies.select("content", F.lit(0).alias("start"), F.col("words").alias("stop"), F.lit(None).cast("long").alias("link")))
+    order = W.partitionBy("content").orderBy("start", "stop", "link")
+    before = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("*", F.when(F.coalesce(F.col("start") > before, F.lit(True)), F.col("start")).alias("new"))
+    ends = ends.select("*", F.last("new", True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("at")).withColumn("node", F.xxhash64("content", "at"))
+    ends = cut(ends.select("content", "start", "stop", "link", "node"))
+    nodes = ends.groupBy("node").agg(F.first("content").alias("content"), F.min("start").alias("start_word"), (F.max("stop") - F.min("start")).alias("n_words"), F.count("link").cast("int").alias("n_links"))
+    edges = ends.where("link is not null").groupBy("link").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b").distinct()
+    found = components(edges)
+    nodes = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("*", F.coalesce("component", "node").alias("class")).join(names, "content")
+    first = nodes.groupBy("class").agg(F.min("name").alias("class_id"))
+    nodes = nodes.join(first, "class").select("content", "start_word", "n_words", "class_id", "n_links", F.col("n_copies").cast("int").alias("n_copies"))
+    ids = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("content"), F.col(id).alias("doc_id"))
+    return ids.join(nodes, "content").select("doc_id", "start_word", "n_words", "class_id", "n_links", "n_copies")
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,16 +527,18 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     """docs with each near-duplicate passage left only in the document of least id that was found to have it.
 
     Every row stays; texts without such passages are unchanged, others lose the passages' words with the white space after
-    them, and `size`, if there is such a column, is set to their new length. Rows are told apart by id and text; a
-    repeated row keeps its text.
+    them, and `size`, if there is such a column, is set to their new length. Of equal texts of a passage's length at least, all but that of the least
+    id lose the whole; a repeated row keeps its text. Null texts and shorter ones stay as they are, null ids come last, no rows give none;
+    extra columns are kept, whatever their names; very long texts are cut like others.
     """
-    found = _passages(docs, id, text, **how).where("not (doc_id <=> other_id)")
-    spans = found.select("doc_id", "content", F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("stop")).distinct()
-    spans = join_spans(spans, ["doc_id", "content"]).groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = cut(spans.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans"))
+    links, copies, names = near_passages(docs, id, text, **how)
+    spans = join_spans(links.select(F.col("b").alias("content"), F.col("b_start").alias("start"), F.col("b_stop").alias("stop")).distinct(), ["content"])
+    spans = spans.groupBy("content").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).join(copies, "content", "full").join(names, "content")
+    spans = cut(spans.select(F.col("content").alias("_content"), F.col("name").alias("_name"), "spans", "words"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    here = (F.xxhash64(F.col(f"row.{text}")) == F.col("_content")) & F.col(f"row.{id}").eqNullSafe(F.col("_id")) & F.col(f"row.{text}").isNotNull()
-    hit = whole.join(spans, here).select("row", F.col(f"row.{text}").alias("text"), "spans")
+    here = (F.xxhash64(F.col(f"row.`{text}`")) == F.col("_content")) & F.col(f"row.`{text}`").isNotNull() & (F.col("spans").isNotNull() | ~F.col(f"row.`{id}`").eqNullSafe(F.col("_name")))
+    every = F.when(F.col(f"row.`{id}`").eqNullSafe(F.col("_name")), F.col("spans")).otherwise(F.coalesce(F.when(F.col("words").isNotNull(), F.array(F.struct(F.lit(0).alias("start"), F.col("words").alias("stop")))), F.col("spans")))
+    hit = whole.join(spans, here).select("row", F.col(f"row.`{text}`").alias("text"), every.alias("spans"))
     less = hit.mapInArrow(_cut_out, f"row {whole.schema['row'].dataType.simpleString()}, text string")
     columns = [F.col("text").alias(c) if c == text else (F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == size else F.col(f"row.`{c}`").alias(c)) for c in docs.columns]
     return whole.join(spans, here, "left_anti").select("row.*").unionByName(less.select(*columns))

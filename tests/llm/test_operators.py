@@ -405,6 +405,13 @@ def test_compact_windows_are_the_cartesian_tree():
         assert got == want
 
 
+def found_passages(spark, docs):
+    by = defaultdict(list)
+    for r in compact_windows.near_duplicate_passages(table(spark, [(k, " ".join(d)) for k, d in enumerate(docs)])).collect():
+        by[r.doc_id].append(r)
+    return by
+
+
 def test_near_passages(spark):
     rng = random.Random(11)
     docs = [words(rng, 150) for _ in range(40)]
@@ -415,35 +422,94 @@ def test_near_passages(spark):
             passage[rng.randrange(len(passage))] = "edit"
         docs.append(words(rng, 25) + passage + words(rng, 40))
         want.add((40 + k, k))
-    rows = compact_windows.near_duplicate_passages(table(spark, [(k, " ".join(d)) for k, d in enumerate(docs)])).collect()
-    found = {(r.doc_id, r.other_id): r for r in rows}
-    assert len(set(found) & want) >= 0.9 * len(want) and set(found) <= want
-    for (a, b), r in found.items():
-        x, y = (gram_set(" ".join(docs[i][s : s + n]), 5) for i, s, n in ((a, r.start_word, r.n_words), (b, r.other_start, r.other_words)))
-        assert len(x & y) / len(x | y) >= 0.6 and r.start_word >= 20 and r.jaccard == pytest.approx(len(x & y) / len(x | y))
+    found = found_passages(spark, docs)
+    assert set(found) <= {i for pair in want for i in pair}
+    assert sum(a in found and b in found for a, b in want) >= 0.9 * len(want)
+    for a, b in want:
+        for r in found[a] + found[b]:
+            assert r.class_id == b and r.n_links >= 1 and r.n_copies == 1 and r.start_word >= 20 and r.n_words >= 50
+        for x, y in zip(found[a], found[b]):
+            x, y = (gram_set(" ".join(docs[i][r.start_word : r.start_word + r.n_words]), 5) for i, r in ((a, x), (b, y)))
+            assert len(x & y) / len(x | y) >= 0.6
+
+
+def brute_links(docs, length, similar):
+    """Pairs of documents with passages of `length` words of which the given share of 5-word tokens is in both."""
+    sets = [[" ".join(d[k : k + 5]) for k in range(len(d) - 4)] for d in docs]
+    least = length - 4
+    return {
+        (a, b)
+        for a in range(len(docs)) for b in range(a) if len({*sets[a]} & {*sets[b]}) >= similar * least
+        if any(len(x & y) >= similar * len(x | y) for x in ({*sets[a][i : i + least]} for i in range(len(sets[a]) - least + 1)) if len(x & {*sets[b]}) >= similar * least for y in ({*sets[b][j : j + least]} for j in range(len(sets[b]) - least + 1)))
+    }
+
+
+@pytest.mark.parametrize("hot", [2, 48])
+def test_links_against_brute_force(spark, monkeypatch, hot):
+    """Holders in groups of 2, 3 and 40, exact and edited ones among them, by pairs and by classes."""
+    monkeypatch.setattr(compact_windows, "HOT", hot)
+    rng = random.Random(17)
+    docs = []
+    for size in (2, 2, 2, 3, 3, 40):
+        passage = words(rng, rng.choice((55, 70)))
+        for k in range(size):
+            own = list(passage)
+            if k % 3 == 2:
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+            docs.append(words(rng, rng.randrange(5, 12)) + own + words(rng, rng.randrange(5, 12)))
+    rng.shuffle(docs)
+    links = brute_links(docs, 50, 0.75)
+    parent = list(range(len(docs)))
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    found = found_passages(spark, docs)
+    want = {x for pair in links for x in pair}
+    assert len(want & set(found)) >= 0.97 * len(want)
+    assert all(r.class_id == root(k) for k in want & set(found) for r in found[k])
+    left = {r.doc_id for r in compact_windows.cut_passages(table(spark, [(k, " ".join(d)) for k, d in enumerate(docs)])).collect() if len(r.text.split()) >= 55}
+    assert len(left & want) <= len({root(k) for k in want}) + 0.03 * len(want)
 
 
-def test_all_partners_of_a_passage(spark):
+def test_all_holders_of_a_passage(spark):
     rng = random.Random(13)
     docs, groups = [], []
     sentence = words(rng, 40)  # beside passages of their own, many hold it
-    for size in (10, 50):
-        for _ in range(3):
+    for size in (2, 3, 10, 40, 60, 150):
+        for edits in (0, 1, 3):
             passage = words(rng, 100)
-            groups.append(range(len(docs), len(docs) + size))
+            groups.append((range(len(docs), len(docs) + size), edits))
             for _ in range(size):
                 own = list(passage)
-                own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+                for _ in range(edits):
+                    own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
                 docs.append(words(rng, 30) + own + words(rng, 30))
-    docs += [words(rng, 30) + sentence + words(rng, 30) for _ in range(300)]
+    docs += [words(rng, 30) + sentence + words(rng, 30) for _ in range(600)]
     beside = range(len(docs), len(docs) + 20)
     for _ in range(10):
         passage = words(rng, 10) + sentence + words(rng, 10)
         docs += [words(rng, 30) + passage + words(rng, 30) for _ in range(2)]
-    found = {(r.doc_id, r.other_id) for r in compact_windows.near_duplicate_passages(table(spark, [(k, " ".join(d)) for k, d in enumerate(docs)])).collect()}
-    want = {(a, b) for g in groups for a in g for b in g if a > b}
-    assert len(found & want) >= 0.98 * len(want)
-    assert {(k + 1, k) for k in beside[::2]} <= found
+    found = found_passages(spark, docs)
+    for g, _ in groups:
+        assert sum(any(r.class_id == g[0] for r in found[k]) for k in g) >= 0.97 * len(g)
+    assert all(any(r.class_id == k for r in found[k + j]) for k in beside[::2] for j in (0, 1))
+    assert not any(k in found for k in range(groups[-1][0][-1] + 1, beside[0]))
+    left = {r.doc_id: r for r in compact_windows.cut_passages(table(spark, [(k, " ".join(d)) for k, d in enumerate(docs)])).collect()}
+    for g, edits in groups:
+        assert len(left[g[0]].text.split()) == len(docs[g[0]])
+        # with three edits on either side the Jaccard of the whole is too little, and only parts of it go
+        assert sum(len(left[k].text.split()) < (75 if edits < 3 else 115) for k in g[1:]) >= (0.97 if edits < 3 else 0.9) * (len(g) - 1)
+
+
+def test_classes_of_a_large_group():
+    rng = np.random.default_rng(18)
+    new = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    common, families = new(16), [new(40) for _ in range(8)]
+    rows = [np.concatenate([new(20), families[k % 8] if k < 200 else new(40), common, new(20)]) for k in range(500)]
+    found = compact_windows._classes(np.arange(500), rows, 46, 0.6, 0.8)
+    assert {(i, j) for i, j, *_ in found} == {(k % 8, k) for k in range(8, 200)}
+    assert all(v[2:6] == (20, 75, 20, 75) and v[6] == 1 for v in found)
 
 
 def test_cutting(spark, corpus):
@@ -453,7 +519,7 @@ def test_cutting(spark, corpus):
     again = repeated([(i, r.text) for i, r in left.items()], 50)
     assert not again
     gone = {i for i, t in corpus if left[i].text != t}
-    assert gone <= {i for i, _ in repeated(corpus, 50)} | {i for p in ngram_join.jaccard_pairs(docs).collect() for i in (p.doc_a, p.doc_b)}
+    assert gone <= {i for i, _ in repeated(corpus, 50)} | {r.doc_id for r in compact_windows.near_duplicate_passages(docs).collect() if r.class_id < r.doc_id}
     assert all(r.n_chars == len(r.text) for r in left.values())
 
 
