@@ -8,8 +8,8 @@ the same min-hash, so the window (l, c, r) stands for all of them. Only windows
 1. Windows of equal min-hash are grouped. In a group of up to HOT texts all pairs are joined; for each pair of texts, ENOUGH
    such windows at least must overlap by a passage, one the next, and what they span in both is a candidate.
 2. A group of more texts sends the tokens around the min-hash, once for each text. They are clustered in order of the texts' least
-   ids: the first is compared with all others, those that it resembles closely join its class, all others are compared among
-   themselves again, until nobody is left who shares a passage's tokens with another. No member is left out.
+   ids: a row is compared with all that are in no class yet, those that share passages with it join its class and are compared with the
+   rest in turn. No member is left out, and no two members of one class need be compared.
 3. Candidates are cut to runs of tokens that the other side has too, and verified: Jaccard of the tokens >= SIMILAR.
 
 A min-hash that is common in one piece of a map task's input is seen to be so there: its windows are spread by text, and only a
@@ -18,6 +18,7 @@ mark goes to the group, so no task gets all windows of a sentence that a third o
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,9 @@ from .textkit import gram_hashes, mix64, pieces, signed, window_min
 
 LENGTH, SHINGLE, K, ENOUGH, SIMILAR, GAP = 50, 5, 5, 2, 0.6, 16
 #: Members up to which a group is joined pair by pair, and tokens on either side of a min-hash that a larger group compares.
-HOT, REACH = 48, 64
-#: Jaccard from which a member needs no comparison with others than the first of its class.
-CLOSE = 0.8
-#: Pairs in one batch, bytes of excerpts, and rows of a group that are clustered at a time.
-PAIRS, EXCERPTS, CHUNK = 1 << 17, 1 << 24, 1 << 15
+HOT, REACH = 24, 64
+#: Pairs in one batch, and bytes of excerpts.
+PAIRS, EXCERPTS = 1 << 17, 1 << 24
 #: A window's bounds as distances from its min-hash are at most this: a passage that reaches further is found in parts.
 FAR = (1 << 16) - 1
 #: Spans that aren't windows: this one marks a group as large; from WHOLE on they give a whole text's words.
@@ -170,7 +169,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
 
 
 def _meet(batches: Iterator[pa.RecordBatch], hot: int, reach: int) -> Iterator[pa.RecordBatch]:
-    """What windows in order of h give: (null, a, b, spans) of pairs, (h, a, null, span) of the members of large groups, and
+    """What windows in order of h give: (null, a, b, spans) of pairs, (h, a, null, span, first and last min-hash) of the members of large groups, and
     (null, a, null, words) of texts that come more than once.
     """
 
@@ -227,7 +226,7 @@ def _meet(batches: Iterator[pa.RecordBatch], hot: int, reach: int) -> Iterator[p
             reached = np.maximum.accumulate(far + hi)
             new[1:] |= (far + lo)[1:] > reached[:-1]
             at = np.flatnonzero(new)
-            yield batch(h[k][at], content[k][at], None, np.minimum.reduceat(lo, at).astype(np.int32), np.maximum.reduceat(hi, at).astype(np.int32))
+            yield batch(h[k][at], content[k][at], None, *(f.reduceat(v, at).astype(np.int32) for f, v in ((np.minimum, lo), (np.maximum, hi), (np.minimum, c[k]), (np.maximum, c[k]))))
         # all pairs of the others
         k = np.flatnonzero(~large)
         if not len(k):
@@ -254,11 +253,14 @@ _MET = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *((x,
 def _candidates(enough: int, least: int):
     """Spans (first and last token in a, in b) of `enough` windows at least that overlap by `least` tokens in a, one the next.
 
-    Rows come in order of a, b and l1. Both sides of a candidate have its number g.
+    Rows come in order of a, b and l1. For each a: a row of what is asked of itself, and one for each span of a partner.
     """
 
+    def batch(g, content, l, r, x, x2) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (g, content, l, r, x, x2)], ["g", "content", "l", "r", "x", "x2"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, l1, r1, l2, r2 in _groups(batches, 2):
+        for a, b, l1, r1, l2, r2 in _groups(batches, 1):
             first = np.ones(len(a), bool)
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             far = np.cumsum(first) << 32
@@ -268,15 +270,18 @@ def _candidates(enough: int, least: int):
             x, x2, y, y2 = np.minimum.reduceat(l1, at), np.maximum.reduceat(r1, at), np.minimum.reduceat(l2, at), np.maximum.reduceat(r2, at)
             fits = np.diff(np.append(at, len(a))) >= enough
             a, b, x, x2, y, y2 = (v[fits] for v in (a[at], b[at], x, x2, y, y2))
-            g = signed(mix64(mix64(a.view(np.uint64)) + b.view(np.uint64)) + x.astype(np.uint64))
-            for content, l, r in ((a, x, x2), (b, y, y2)):
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(content), pa.array(l), pa.array(r)], ["g", "content", "l", "r"])
+            if not len(a):
+                continue
+            yield batch(a, b, y, y2, x, x2)
+            at = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            lo, hi = np.minimum.reduceat(x, at), np.maximum.reduceat(x2, at)
+            yield batch(a[at], a[at], lo, hi, lo, hi)
 
     return run
 
 
 def _excerpts(shingle: int, name: pa.DataType):
-    schema = pa.schema([("pair", pa.bool_()), ("g", pa.int64()), ("name", name), ("content", pa.int64()), ("l", pa.int32()), ("tokens", pa.binary())])
+    schema = pa.schema([("pair", pa.bool_()), ("g", pa.int64()), ("name", name), ("content", pa.int64()), *((c, pa.int32()) for c in ("l", "x", "x2")), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches):
@@ -295,150 +300,243 @@ def _excerpts(shingle: int, name: pa.DataType):
                 start = stop
                 at = begin[row[part]]
                 tokens = [h[x:y].tobytes() for x, y in zip((at + l[part]).tolist(), (at + r[part] + 1).tolist())]
-                yield pa.RecordBatch.from_arrays([items.field("pair")[part], items.field("g")[part], names.take(pa.array(row[part])), pa.array(content[row[part]]), pa.array(l[part]), pa.array(tokens, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([items.field("pair")[part], items.field("g")[part], names.take(pa.array(row[part])), pa.array(content[row[part]]), *(items.field(c)[part] for c in ("l", "x", "x2")), pa.array(tokens, pa.binary())], schema=schema)
 
     return run
 
 
-def _runs(hit: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    """First and last of the runs of true in which no more than gap follow one another that are false."""
+def _need(least: int, similar: float) -> int:
+    """Tokens that two passages of `least` different ones must share."""
+    return int(np.ceil(2 * least * similar / (1 + similar) - 1e-9))
+
+
+def _runs(hit: np.ndarray, gap: int, least: int, need: int) -> list[tuple[int, int]]:
+    """First and last of the runs of true in which no more than gap follow one another that are false: those of
+    `least` places and `need` true ones at least.
+    """
     at = np.flatnonzero(hit)
-    if not len(at):
+    if len(at) < need:
         return []
-    breaks = np.flatnonzero(np.diff(at) > gap + 1)
-    return list(zip(at[np.append(0, breaks + 1)].tolist(), at[np.append(breaks, len(at) - 1)].tolist()))
+    cuts = np.flatnonzero(at[1:] - at[:-1] > gap + 1)
+    if not len(cuts):
+        return [(int(at[0]), int(at[-1]))] if at[-1] - at[0] + 1 >= least else []
+    first, last = np.append(0, cuts + 1), np.append(cuts, len(at) - 1)
+    fits = (at[last] - at[first] + 1 >= least) & (last - first + 1 >= need)
+    return list(zip(at[first[fits]].tolist(), at[last[fits]].tolist()))
+
+
+def _dense(at: np.ndarray, of: np.ndarray, least: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index into at of the pieces made of windows of `least` places that have `need` of at's; of parts at."""
+    k = np.flatnonzero((at[need - 1 :] - at[: len(at) - need + 1] < least) & (of[need - 1 :] == of[: len(of) - need + 1])) if len(at) >= need else np.zeros(0, np.int64)
+    if not len(k):
+        return k, k
+    cuts = np.flatnonzero((k[1:] > k[:-1] + need - 1) | (of[k[1:]] != of[k[:-1]]))
+    return k[np.append(0, cuts + 1)], k[np.append(cuts, len(k) - 1)] + need - 1
+
+
+def _widened(a, b, least: int, n):
+    """The span as wide as a passage, if it was less, within n tokens."""
+    a = np.maximum(np.minimum(a, b - least + 1), 0)
+    return a, np.minimum(np.maximum(b, a + least - 1), n - 1)
 
 
 def verify(x: np.ndarray, y: np.ndarray, least: int, similar: float, gap: int = GAP) -> list[tuple[int, int, int, int, float]]:
     """(first, last in x, first, last in y, Jaccard) of the passages of at least `least` tokens that x and y share nearly.
 
     Runs of tokens of x that y has, cut where more than gap others follow one another; against each, y's likewise, all of
-    them. Each pair of runs is cut further by what the other has, until nothing more is cut off on either side; one that
-    has too little Jaccard then is cut at shorter gaps, down to the tokens that are shared without a break.
+    them. Each pair of runs is cut further by what the other has, until nothing more is cut off on either side. Of one that
+    has too little Jaccard then, the pieces remain that are made of windows of `least` tokens with as many shared ones as two
+    passages of that Jaccard have; their Jaccard is given as `similar`. Shared tokens are counted by place, and a run has that many too.
     """
+    need = _need(least, similar)
+    values, token = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = token[: len(x)], token[len(x) :]
+    mine, theirs = np.zeros(len(values), bool), np.zeros(len(values), bool)
 
     def jaccard(a: int, b: int, c: int, d: int) -> float:
-        part, other = np.unique(x[a : b + 1]), np.unique(y[c : d + 1])
-        common = len(np.intersect1d(part, other, assume_unique=True))
-        return common / (len(part) + len(other) - common)
+        mine[x[a : b + 1]] = theirs[y[c : d + 1]] = True
+        likeness = np.count_nonzero(mine & theirs) / np.count_nonzero(mine | theirs)
+        mine[x[a : b + 1]] = theirs[y[c : d + 1]] = False
+        return likeness
 
     def within(a: int, b: int, c: int, d: int, gap: int) -> list[tuple[int, int, int, int]]:
         """Runs of x[a..b] that y[c..d] has, each with the runs of y[c..d] that it has."""
         found = []
-        for p, q in _runs(np.isin(x[a : b + 1], y[c : d + 1]), gap):
-            if q - p + 1 >= least:
-                for s, t in _runs(np.isin(y[c : d + 1], x[a + p : a + q + 1]), gap):
-                    if t - s + 1 >= least:
-                        found.append((a + p, a + q, c + s, c + t))
+        other = y[c : d + 1]
+        theirs[other] = True
+        hit = theirs[x[a : b + 1]]
+        theirs[other] = False
+        for p, q in _runs(hit, gap, least, need):
+            own = x[a + p : a + q + 1]
+            mine[own] = True
+            hit = mine[other]
+            mine[own] = False
+            found += [(a + p, a + q, c + s, c + t) for s, t in _runs(hit, gap, least, need)]
         return found
 
-    def cut_down(whole: tuple[int, int, int, int], gap: int) -> list[tuple[int, int, int, int, float]]:
+    def cut_down(whole: tuple[int, int, int, int]) -> list[tuple[int, int, int, int, float]]:
         parts = within(*whole, gap)
-        out = [v for part in parts if part != whole for v in cut_down(part, gap)]
-        if not out and (j := jaccard(*whole)) >= similar:
+        out = [v for part in parts if part != whole for v in cut_down(part)]
+        if out:
+            return out
+        if (j := jaccard(*whole)) >= similar:
             return [(*whole, j)]
-        return out or (cut_down(whole, gap // 2) if gap else [])
+        return dense(*whole)
 
-    if not len(x) or not len(y):
-        return []
-    return sorted({v for part in within(0, len(x) - 1, 0, len(y) - 1, gap) for v in cut_down(part, gap)})
+    def pieces_of(own: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
+        theirs[other] = True
+        at = np.flatnonzero(theirs[own])
+        theirs[other] = False
+        first, last = _dense(at, np.zeros(len(at), np.int64), least, need)
+        return list(zip(at[first].tolist(), at[last].tolist()))
+
+    def dense(a: int, b: int, c: int, d: int) -> list[tuple[int, int, int, int, float]]:
+        found = []
+        for p, q in pieces_of(x[a : b + 1], y[c : d + 1]):
+            for s, t in pieces_of(y[c : d + 1], x[a + p : a + q + 1]):
+                found.append((*_widened(a + p, a + q, least, len(x)), *_widened(c + s, c + t, least, len(y)), similar))
+        return found
+
+    return sorted({v for part in within(0, len(x) - 1, 0, len(y) - 1, gap) for v in cut_down(part)})
 
 
-def _classes(content: np.ndarray, tokens: list[np.ndarray], least: int, similar: float, close: float, gap: int = GAP) -> list[tuple]:
-    """(i, j, first, last in i, first, last in j, Jaccard) of rows i < j of a group, from each class's first row to its members.
+def _classes(content: np.ndarray, core: np.ndarray, tokens: list[np.ndarray], least: int, similar: float, gap: int = GAP) -> list[tuple]:
+    """(i, j, first, last in i, first, last in j, Jaccard) of rows of a group such that rows that share passages are connected.
 
-    Row i is compared with all after it; those that have nearly all of their shared tokens from it in one passage of Jaccard
-    >= close are of its class and compared with no other. Rows that share too few tokens with other texts for any passage are dropped first.
+    core has the places of a row's first and last min-hash, and passages that hold one of these count here: the others have groups of their
+    own. The first row begins a class. Each row of a class, the first ones first, is compared with all that are in no class yet,
+    and those that share a passage with it join. When none is left that joins, the next row begins a class. Rows that share too few tokens with other
+    texts for any passage are dropped first; tokens are counted by place, as in verify.
     """
-    need = int(np.ceil(2 * least * similar / (1 + similar) - 1e-9))
+    need = _need(least, similar)
     size = np.array([len(t) for t in tokens])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    values, every = np.unique(np.concatenate(tokens), return_inverse=True)
     row = np.repeat(np.arange(len(tokens)), size)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    values, token = np.unique(np.concatenate(tokens), return_inverse=True)
-    alive = np.ones(len(tokens), bool)
-    where = np.full(len(values), -1)
-    found, since, held = [], 0, len(tokens)
-
-    def prune() -> None:
-        nonlocal row, place, token, held
-        while True:
-            # a token counts if rows of two texts have it
-            by = np.lexsort((content[row], token))
-            t, c = token[by], content[row[by]]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            shared = np.bincount(t[new], minlength=len(values))[token] > 1
-            keep = (np.bincount(row[shared], minlength=len(alive)) >= need) & alive
-            done = keep[row].all() if len(row) else True
-            alive[:] = keep
-            row, place, token = (x[shared & keep[row]] for x in (row, place, token))
-            if done:
-                held = int(alive.sum())
-                return
-
-    prune()
-    for i in range(len(tokens)):
-        if not alive[i]:
+    place, token = np.arange(len(row)) - begin[row], every
+    free = np.ones(len(tokens), bool)
+    done = False
+    while not done:
+        # a token counts if rows of two texts have it
+        by = np.lexsort((content[row], token))
+        t, c = token[by], content[row[by]]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        shared = np.bincount(t[new], minlength=len(values))[token] > 1
+        count = np.bincount(row[shared], minlength=len(free))
+        done = not (free & (count < need)).any()
+        free &= count >= need
+        row, place, token = (x[shared & free[row]] for x in (row, place, token))
+    where, found, held = np.full(len(values), -1), [], int(free.sum())
+
+    def by_token() -> tuple[np.ndarray, np.ndarray]:
+        return np.argsort(token, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(values)))])
+
+    entry, index = by_token()
+    for first in range(len(tokens)):
+        if not free[first]:
             continue
-        alive[i] = False
-        own = row == i
-        where[token[own]] = place[own]
-        rest = (row > i) & alive[row]
-        hit = rest & (where[token] >= 0)
-        at = np.flatnonzero(hit)
-        if len(at):
+        free[first] = False
+        held -= 1
+        queue = [first]
+        while queue:
+            i = heapq.heappop(queue)
+            own = every[begin[i] : begin[i + 1]]
+            where[own] = np.arange(len(own))
+            # the places of its tokens in others: by the index of tokens, or of all places if they are many
+            n = index[own + 1] - index[own]
+            if n.sum() * 8 < len(row):
+                at = np.sort(entry[np.repeat(index[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+                at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+                at = at[free[row[at]]]
+            else:
+                at = np.flatnonzero((where[token] >= 0) & free[row])
             r, x, y = row[at], where[token[at]], place[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (r[1:] != r[:-1]) | (np.diff(y) > gap + 1)
-            s = np.flatnonzero(new)
-            n = np.diff(np.append(s, len(at)))
-            j, y1, y2 = r[s], y[s], y[np.append(s[1:], len(at)) - 1]
-            x1, x2 = np.minimum.reduceat(x, s), np.maximum.reduceat(x, s)
-            long = (y2 - y1 + 1 >= least) & (n >= need / 2) & (content[j] != content[i])
-            likeness = np.minimum(n / np.maximum((y2 - y1 + 1) + (x2 - x1 + 1) - n, 1), 1.0)
-            good = long & (x2 - x1 + 1 >= least) & (likeness >= similar)
-            found += zip([i] * int(good.sum()), j[good].tolist(), x1[good].tolist(), x2[good].tolist(), y1[good].tolist(), y2[good].tolist(), likeness[good].tolist())
-            for other in np.unique(j[long & ~good]).tolist():
-                found += [(i, other, *v) for v in verify(tokens[i], tokens[other], least, similar, gap)]
-            left = np.bincount(row[rest], minlength=len(alive))
-            taken = np.bincount(j[good & (likeness >= close)], n[good & (likeness >= close)], minlength=len(alive))
-            alive[(taken > 0) & (taken >= close * left)] = False
-        where[token[own]] = -1
-        since += 1
-        if since >= 64 or alive.sum() * 2 < held:
-            since = 0
-            prune()
+            where[own] = -1
+            joined = []
+            # runs of tokens that row i has too; those of too little Jaccard give their dense pieces, as in verify
+            run = np.cumsum(np.append(True, (r[1:] != r[:-1]) | (y[1:] - y[:-1] > gap + 1))) if len(r) else r
+            for close in (True, False):
+                if not len(r):
+                    break
+                if close:
+                    s = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+                    end = np.append(s[1:], len(r)) - 1
+                else:
+                    s, end = _dense(y, run, least, need)
+                    if not len(s):
+                        break
+                j, y1, y2 = r[s], y[s], y[end]
+                # reduceat's slices begin at s and end at the next end
+                ends = np.ravel(np.column_stack([s, end + 1]))[: None if end[-1] + 1 < len(r) else -1]
+                x1, x2 = np.minimum.reduceat(x, ends)[::2], np.maximum.reduceat(x, ends)[::2]
+                n = end - s + 1
+                fits = (n >= need) & (content[j] != content[i]) & ((y1 <= core[j, 0]) & (core[j, 0] <= y2) | (y1 <= core[j, 1]) & (core[j, 1] <= y2))
+                if close:
+                    fits &= (y2 - y1 + 1 >= least)
+                    likeness = np.minimum(n / np.maximum((y2 - y1 + 1) + (x2 - x1 + 1) - n, 1), 1.0)
+                    good = fits & (x2 - x1 + 1 >= least) & (likeness >= similar)
+                else:
+                    likeness = np.full(len(s), similar)
+                    good = fits & (x2 - x1 < 2 * least + (y2 - y1))
+                    y1, y2 = _widened(y1, y2, least, size[j])
+                    x1, x2 = _widened(x1, x2, least, len(own))
+                if good.any():
+                    for j_, a, b, c_, d, v in zip(*(v[good].tolist() for v in (j, x1, x2, y1, y2, likeness))):
+                        found.append((i, j_, a, b, c_, d, v) if i < j_ else (j_, i, c_, d, a, b, v))
+                    joined += j[good].tolist()
+                if close:
+                    again = np.repeat(fits & ~good, n)
+                    r, x, y, run = r[again], x[again], y[again], run[again]
+            if len(joined):
+                free[joined] = False
+                for j in set(joined):
+                    heapq.heappush(queue, j)
+                left = int(free.sum())
+                if left * 2 < held or not left:
+                    held = left
+                    row, place, token = (v[free[row]] for v in (row, place, token))
+                    entry, index = by_token()
+            if not held:
+                return found
     return found
 
 
 def _links(shingle: int, least: int, similar: float):
     """Verified links from rows in order of pair, g and name."""
 
-    def compare(pair: bool, content: np.ndarray, l: np.ndarray, tokens: list[np.ndarray]) -> list[tuple]:
+    def compare(pair: bool, g: int, rows: list[tuple]) -> list[tuple]:
+        tokens = [np.frombuffer(r[4], np.uint32) for r in rows]
         if pair:
-            other = np.flatnonzero(content != content[0])
-            found = [(0, other[0], *v) for v in verify(tokens[0], tokens[other[0]], least, similar)] if len(other) else []
+            # the text that all others are compared with, where the two meet
+            own = next((k for k, r in enumerate(rows) if r[0] == g), None)
+            found = []
+            for k, (content, _, x, x2, _) in enumerate(rows):
+                if content != g and own is not None:
+                    at = rows[own][1]
+                    for a, b, c, d, likeness in verify(tokens[own][x - at : x2 - at + 1], tokens[k], least, similar):
+                        one, two = (own, a + x - at, b + x - at), (k, c, d)
+                        (i, a, b), (j, c, d) = (one, two) if own < k else (two, one)
+                        found.append((i, j, a, b, c, d, likeness))
         else:
-            found = _classes(content, tokens, least, similar, CLOSE)
-        return [(int(content[i]), int(content[j]), int(l[i]) + a, int(l[i]) + b + shingle, int(l[j]) + c, int(l[j]) + d + shingle, x) for i, j, a, b, c, d, x in found]
+            found = _classes(np.array([r[0] for r in rows]), np.array([(r[2] - r[1], r[3] - r[1]) for r in rows]), tokens, least, similar)
+        return [(rows[i][0], rows[j][0], rows[i][1] + a, rows[i][1] + b + shingle, rows[j][1] + c, rows[j][1] + d + shingle, likeness) for i, j, a, b, c, d, likeness in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
 
         def finish() -> None:
-            # a repeated row of documents gives a row again
-            once = list(dict.fromkeys((c, l, t) for c, l, t in rows))
+            once = list(dict.fromkeys(rows))  # a repeated row of documents gives a row again
             if len(once) > 1:
-                content, l = np.array([x[0] for x in once]), np.array([x[1] for x in once])
-                out.extend(compare(key[0], content, l, [np.frombuffer(x[2], np.uint32) for x in once]))
+                out.extend(compare(*key, once))
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pair", "g", "content", "l", "tokens")]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pair", "g", "content", "l", "x", "x2", "tokens")]
             for pair, g, *r in zip(*columns):
                 if key != (pair, g):
                     finish()
                     key, rows = (pair, g), []
-                rows.append(r)
+                rows.append(tuple(r))
             if len(out) > PAIRS:
                 yield _linked(out)
                 out = []
@@ -466,16 +564,16 @@ def near_passages(docs: DataFrame, id: str, text: str, length: int = LENGTH, shi
     laid = windows.repartition(F.when(spread, F.xxhash64("content", "h")).otherwise(F.col("h"))).sortWithinPartitions("h")
     met = cut(laid.mapInArrow(lambda batches: _meet(batches, HOT, REACH), "h long, a long, b long, l1 int, r1 int, l2 int, r2 int"))
     copies = met.where("h is null and b is null").select(F.col("a").alias("content"), F.col("l1").alias("words")).distinct()
-    pairs = met.where("b is not null").drop("h").repartition("a", "b").sortWithinPartitions("a", "b", "l1")
-    near = pairs.mapInArrow(_candidates(enough, least), "g long, content long, l int, r int").select(F.lit(True).alias("pair"), "g", "content", "l", "r")
-    large = met.where("h is not null").select(F.lit(False).alias("pair"), F.col("h").alias("g"), F.col("a").alias("content"), F.col("l1").alias("l"), F.col("r1").alias("r"))
-    asked = near.unionByName(large).groupBy("content").agg(F.collect_list(F.struct("pair", "g", "l", "r")).alias("asked"))
+    pairs = met.where("b is not null").drop("h").repartition("a").sortWithinPartitions("a", "b", "l1")
+    near = pairs.mapInArrow(_candidates(enough, least), "g long, content long, l int, r int, x int, x2 int").select(F.lit(True).alias("pair"), "*")
+    large = met.where("h is not null").select(F.lit(False).alias("pair"), F.col("h").alias("g"), F.col("a").alias("content"), F.col("l1").alias("l"), F.col("r1").alias("r"), F.col("l2").alias("x"), F.col("r2").alias("x2"))
+    asked = near.unionByName(large).groupBy("content").agg(F.collect_list(F.struct("pair", "g", "l", "r", "x", "x2")).alias("asked"))
     asked = asked.join(names.select("content", "name"), "content").withColumnRenamed("name", "_name")
     cited = rows.join(asked, "content").where(F.col("name").eqNullSafe(F.col("_name"))).drop("_name")
     kind = cited.schema["name"].dataType
-    excerpts = cited.mapInArrow(_excerpts(shingle, to_arrow_type(kind)), f"pair boolean, g long, name {kind.simpleString()}, content long, l int, tokens binary")
+    excerpts = cited.mapInArrow(_excerpts(shingle, to_arrow_type(kind)), f"pair boolean, g long, name {kind.simpleString()}, content long, l int, x int, x2 int, tokens binary")
     laid = excerpts.repartition("pair", "g").sortWithinPartitions("pair", "g", F.col("name").asc_nulls_last(), "content", "l")
-    links = laid.select("pair", "g", "content", "l", "tokens").mapInArrow(_links(shingle, least, similar), "a long, b long, a_start int, a_stop int, b_start int, b_stop int, jaccard double")
+    links = laid.drop("name").mapInArrow(_links(shingle, least, similar), "a long, b long, a_start int, a_stop int, b_start int, b_stop int, jaccard double")
     return cut(links), copies, names
 
 
@@ -484,7 +582,7 @@ def near_duplicate_passages(docs: DataFrame, id: str = "doc_id", text: str = "te
     has nearly, or that are the whole of a text which comes again.
 
     A document's passages that overlap or touch are one. n_links counts a passage's verified links to other texts' passages: all in
-    groups of up to HOT texts, in larger ones those to the first of each class. class_id is the least id that links lead to, so that
+    groups of up to HOT texts, in larger ones those by which it joined its class and others joined by it. class_id is the least id that links lead to, so that
     linked passages have the same class; n_copies counts the rows of this very text, each of which has rows here. Null and shorter
     texts have no passages; null ids come last in order and stay null, a repeated row is a copy; extra columns don't matter; very long
     texts are taken whole; no rows give no rows. `how`: length, shingle, k, enough, similar, as the constants above.

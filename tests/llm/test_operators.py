@@ -507,7 +507,7 @@ def test_classes_of_a_large_group():
     new = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
     common, families = new(16), [new(40) for _ in range(8)]
     rows = [np.concatenate([new(20), families[k % 8] if k < 200 else new(40), common, new(20)]) for k in range(500)]
-    found = compact_windows._classes(np.arange(500), rows, 46, 0.6, 0.8)
+    found = compact_windows._classes(np.arange(500), np.full((500, 2), 65), rows, 46, 0.6)
     assert {(i, j) for i, j, *_ in found} == {(k % 8, k) for k in range(8, 200)}
     assert all(v[2:6] == (20, 75, 20, 75) and v[6] == 1 for v in found)
 
