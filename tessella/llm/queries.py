@@ -34,7 +34,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(_table(spark, sf_dir, "documents"))
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +74,22 @@ SELECT doc_id, CAST(min(start) AS INTEGER) AS start_word, CAST(max(start) + 50 -
 FROM islands GROUP BY doc_id, island"""
 
 _OP5 = f"""
-WITH names AS (SELECT text, min(doc_id) AS doc FROM documents WHERE text IS NOT NULL GROUP BY text),
+WITH RECURSIVE names AS (SELECT text, min(doc_id) AS doc FROM documents WHERE text IS NOT NULL GROUP BY text),
 words AS (SELECT doc, {_WORDS} AS w FROM names),
 grams AS (SELECT DISTINCT doc, array_to_string(w[i:i + 4], ' ') AS g
           FROM (SELECT doc, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc, count(*) AS n FROM grams GROUP BY doc),
 shared AS (SELECT a.doc AS doc_a, b.doc AS doc_b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc < b.doc GROUP BY 1, 2)
-SELECT doc_a, doc_b, o / CAST(x.n + y.n - o AS DOUBLE) AS jaccard
-FROM shared JOIN sizes x ON x.doc = doc_a JOIN sizes y ON y.doc = doc_b
-WHERE o / CAST(x.n + y.n - o AS DOUBLE) >= 0.4 - 1e-9
-UNION ALL
-SELECT n.doc, d.doc_id, 1.0 FROM documents d JOIN names n ON d.text = n.text WHERE d.doc_id > n.doc AND regexp_matches(d.text, '[^\\t\\n\\x0B\\f\\r ]')"""
+links AS (SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc = doc_a JOIN sizes y ON y.doc = doc_b
+          WHERE o / CAST(x.n + y.n - o AS DOUBLE) >= 0.4 - 1e-9),
+ends AS (SELECT doc_a AS a, doc_b AS b FROM links UNION ALL SELECT doc_b, doc_a FROM links),
+reach AS (SELECT doc AS a, doc AS b FROM sizes UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a),
+classes AS (SELECT a AS doc, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a AS doc, count(*) AS n_links FROM ends GROUP BY a),
+copies AS (SELECT text, count(*) AS n_copies FROM documents GROUP BY text)
+SELECT d.doc_id, k.class_id, CAST(coalesce(c.n_links, 0) AS INTEGER) AS n_links, CAST(p.n_copies AS INTEGER) AS n_copies
+FROM documents d JOIN names n ON d.text = n.text JOIN classes k ON k.doc = n.doc JOIN copies p ON p.text = d.text
+LEFT JOIN counts c ON c.doc = n.doc WHERE p.n_copies > 1 OR c.n_links > 0"""
 
 _OP6 = """
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keeper_id, count(*) OVER (PARTITION BY text) AS n_copies

@@ -12,7 +12,7 @@ from .conftest import SCHEMA, table
 MODEL = toxicity.train([f"fine day number {k} again" for k in range(40)] + [f"you scum {k} here" for k in range(20)], np.array([0] * 40 + [1] * 20))
 WEIGHTS = quality.train(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
 OPERATORS = {
-    "bpe": bpe.encode_checked, "suffix": suffix_dedup.repeated_passages, "quality": lambda d: quality.posteriors(d, WEIGHTS), "ngram": ngram_join.jaccard_pairs, "ngram_drop": ngram_join.drop_similar, "exact": exact_dedup.duplicate_groups, "exact_drop": exact_dedup.drop_copies,
+    "bpe": bpe.encode_checked, "suffix": suffix_dedup.repeated_passages, "quality": lambda d: quality.posteriors(d, WEIGHTS), "ngram": ngram_join.similar_documents, "ngram_drop": ngram_join.drop_similar, "exact": exact_dedup.duplicate_groups, "exact_drop": exact_dedup.drop_copies,
     "sharding": sharding.assign_shards, "packing": packing.pack_documents, "toxic": lambda d: toxicity.offending_sentences(d, MODEL), "toxic_drop": lambda d: toxicity.drop_toxic(d, MODEL), "windows": compact_windows.near_duplicate_passages, "windows_cut": compact_windows.cut_passages,
 }
 CLASHING = ("content", "row", "h", "place", "text_", "gram", "view", "size", "component", "bin", "slot", "shard", "k", "name", "_content", "_id", "_group", "spans", "evidence", "host", "path", "score", "toxic", "owner", "key", "_tessella_hash", "_h", "_label", "_worded")
@@ -46,8 +46,8 @@ def test_defined_results(spark, odd_rows):
     assert len(left) == len(odd_rows) - 3 and left.count(("5", "t0 t1 t2 ")) == 1
     kept = ngram_join.drop_similar(docs).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "None", "None", "2", "3", "4", "5", "7", "8", "9"])
-    pairs = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.jaccard_pairs(docs).collect()}
-    assert set(pairs) == {(5, 5), (5, 6), (5, None), (5, 10)} and pairs[5, 6] == 1
+    similar = sorted((str(r.doc_id), r.class_id, r.n_links, r.n_copies) for r in ngram_join.similar_documents(docs).collect())
+    assert similar == [("10", 5, 1, 1), ("5", 5, 1, 4), ("5", 5, 1, 4), ("6", 5, 1, 4), ("None", 5, 1, 4)]
     spans = {(r.doc_id, r.start_word, r.n_words) for r in suffix_dedup.repeated_passages(docs).collect()}
     assert {(5, 0, 70), (6, 0, 70), (None, 0, 70), (10, 0, 70), (8, 0, 300)} <= spans
     cut = {r.doc_id: r for r in compact_windows.cut_passages(docs.where("doc_id in (5, 6, 10)")).collect()}

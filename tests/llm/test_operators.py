@@ -188,47 +188,54 @@ def gram_set(text, n):
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("n,threshold,sample", [(5, 0.4, 64), (3, 0.6, 16), (5, 0.9, 64)])
-def test_jaccard_pairs(spark, corpus, n, threshold, sample):
-    first = {}
-    for i, t in corpus:
+def brute_classes(rows, n, threshold):
+    """{id: (class, links, copies)} and the similar pairs of different texts, by their first ids."""
+    first, copies = {}, defaultdict(int)
+    for i, t in rows:
         first.setdefault(t, i)
-    sets = {i: gram_set(t, n) for t, i in first.items()}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
-    want |= {(first[t], i) for i, t in corpus if first[t] != i}
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.jaccard_pairs(table(spark, corpus), n, threshold, sample).collect()}
-    assert set(got) <= want and len(set(got) & want) >= (1 if sample == 64 else 0.9) * len(want)
-    for (a, b), j in got.items():
-        if b in sets:
-            assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+        copies[t] += 1
+    sets = {i: gram_set(t, n) for t, i in first.items() if t.split()}
+    pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    parent = {i: i for i in sets}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    links = {i: sum(i in p for p in pairs) for i in sets}
+    return {i: (root(first[t]), links[first[t]], copies[t]) for i, t in rows if t.split() and (links[first[t]] or copies[t] > 1)}, {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}, {root(first[t]) for _, t in rows if t.split()}
+
 
+@pytest.mark.parametrize("n,threshold", [(5, 0.4), (3, 0.6), (5, 0.9)])
+def test_similar_documents(spark, corpus, n, threshold):
+    want, pairs, _ = brute_classes(corpus, n, threshold)
+    docs = table(spark, corpus)
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.similar_documents(docs, n, threshold).collect()} == want
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.jaccard_pairs(docs, n, threshold).collect()} == pytest.approx(pairs)
 
-@pytest.mark.parametrize("small,large", [(110, 260), (120, 299), (210, 520), (1100, 2600)])
-def test_contained_in_a_text_of_up_to_the_size_ratio(spark, small, large):
-    text = words(random.Random(15), large + 4, 10**6)
-    docs = table(spark, [(1, " ".join(text[: small + 4])), (2, " ".join(text))])
-    assert [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.jaccard_pairs(docs).collect()] == [(1, 2, pytest.approx(small / large))]
+
+def test_all_size_ratios(spark):
+    """A text within another of 1 to 1 / threshold times its size, and just beyond; short and long ones."""
+    rng, rows = random.Random(15), []
+    for small in (30, 127, 400, 1500):
+        for ratio in (1.02, 1.3, 1.7, 2.1, 2.36, 2.49, 2.5, 2.52, 3.0):
+            text = words(rng, int(small * ratio) + 4, 10**6)
+            rows += [(len(rows), " ".join(text[: small + 4])), (len(rows) + 1, " ".join(text))]
+    want, pairs, _ = brute_classes(rows, 5, 0.4)
+    assert len(pairs) == 7 * 4
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.similar_documents(table(spark, rows)).collect()} == want
 
 
 def test_tiles(spark, corpus, monkeypatch):
-    whole = sorted(map(tuple, ngram_join.jaccard_pairs(table(spark, corpus)).collect()))
     monkeypatch.setattr(ngram_join, "TILE", 2)
-    assert sorted(map(tuple, ngram_join.jaccard_pairs(table(spark, corpus)).collect())) == whole
+    monkeypatch.setattr(ngram_join, "GATHERED", 500)
+    want, pairs, _ = brute_classes(corpus, 5, 0.4)
+    docs = table(spark, corpus)
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.similar_documents(docs).collect()} == want
+    assert {(r.doc_a, r.doc_b) for r in ngram_join.jaccard_pairs(docs).collect()} == set(pairs)
 
 
 def test_one_of_each_group_stays(spark, corpus):
-    pairs = ngram_join.jaccard_pairs(table(spark, corpus)).collect()
-    parent = {i: i for i, _ in corpus}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for r in pairs:
-        a, b = sorted((root(r.doc_a), root(r.doc_b)))
-        parent[b] = a
-    want = {root(i) for i, _ in corpus}
+    _, _, want = brute_classes(corpus, 5, 0.4)
     assert sorted(r.doc_id for r in ngram_join.drop_similar(table(spark, corpus)).collect()) == sorted(want)
 
 
