@@ -111,8 +111,9 @@ def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", ow
     suspects = cut(suspect_hashes(docs, text, owners))
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias(SUSPECTS)).where(F.col("text").isNotNull())
     rows = rows.join(suspects, SUSPECTS, "left_semi")
-    groups = rows.groupBy("text").agg(F.min("doc_id").alias("keeper_id"), F.count(F.lit(1)).alias("n_copies"), F.collect_list(F.struct("doc_id")).alias("ids"))
-    return groups.where("n_copies > 1").select(F.explode("ids").alias("i"), "keeper_id", "n_copies").select("i.doc_id", "keeper_id", "n_copies")
+    groups = rows.groupBy("text").agg(F.min("doc_id").alias("keeper_id"), F.count(F.lit(1)).alias("n_copies"))
+    # joined by the very text, where a text that many rows have is split as a skewed partition
+    return rows.join(groups.where("n_copies > 1"), "text").select("doc_id", "keeper_id", "n_copies")
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ from .runtime import cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every end of an edge; component is the least id that can be reached. Edges with a null end are left out.
+    """(id, component) for every end of an edge; component is the least id that can be reached. Edges with a null end are left out, and so
+    are vertices that have only an edge to themselves.
 
     The number of rounds grows with the logarithm of the longest path; each round's edges are kept in the checkpoint folder.
     """

@@ -189,8 +189,9 @@ def coefficients(data: bytes) -> tuple[int, int, dict[int, _Component]]:
     at, quants, dc, ac, restart = 2, {}, {}, {}, 0
     parts: dict[int, _Component] = {}
     height = width = 0
-    progressive = False
-    while at + 4 <= len(data):
+    progressive = ended = False
+    seen: set[int] = set()
+    while at + 2 <= len(data):
         if data[at] != 0xFF:
             raise MediaError("no marker where one must be")
         kind = data[at + 1]
@@ -198,13 +199,19 @@ def coefficients(data: bytes) -> tuple[int, int, dict[int, _Component]]:
             at += 1
             continue
         if kind == 0xD9:
+            ended = True
             break
+        if kind == 0x01 or 0xD0 <= kind <= 0xD8:  # markers without a body
+            at += 2
+            continue
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
         if kind == 0xDB:
             while body:
                 wide = body[0] >> 4
                 n = 64 * (1 + wide)
+                if len(body) < 1 + n:
+                    raise MediaError("bad quantisation table")
                 quants[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.float64)
                 body = body[1 + n :]
         elif kind == 0xC4:
@@ -221,6 +228,10 @@ def coefficients(data: bytes) -> tuple[int, int, dict[int, _Component]]:
                 i, hv, q = body[6 + 3 * k : 9 + 3 * k]
                 parts[i] = _Component(hv >> 4, hv & 15, q)
             hmax, vmax = max(c.h for c in parts.values()), max(c.v for c in parts.values())
+            if any(not 1 <= x <= 4 or m % x for c in parts.values() for x, m in ((c.h, hmax), (c.v, vmax))):
+                raise MediaError("sampling factors that aren't decoded")
+            if sum(-(-width // (8 * hmax)) * c.h * -(-height // (8 * vmax)) * c.v for c in parts.values()) > 8 * len(data):
+                raise MediaError("more blocks than the file has bits for")
             for c in parts.values():
                 c.lay(width, height, hmax, vmax)
         elif kind in (0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)):
@@ -232,9 +243,15 @@ def coefficients(data: bytes) -> tuple[int, int, dict[int, _Component]]:
             picked = [(parts[body[1 + 2 * k]], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(n)]
             first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
             segments, at = _segments(data, at)
+            if not n or last > 63 or first > last:
+                raise MediaError("bad scan")
+            if not first and not high:
+                seen |= {body[1 + 2 * k] for k in range(n)}
             _scan(picked, segments, restart, first, last, high, low, dc, ac, progressive, width, height, parts)
     if not parts:
         raise MediaError("no frame")
+    if not ended or seen != set(parts):
+        raise MediaError("the file is cut short")
     for c in parts.values():
         if c.quant not in quants:
             raise MediaError("no quantisation table")
@@ -285,8 +302,12 @@ def decode(data: bytes) -> np.ndarray:
     """height x width x 3, uint8. Chroma samples are repeated to full resolution; grey files give equal channels."""
     try:
         height, width, parts = coefficients(data)
-    except (IndexError, KeyError, TypeError, UnboundLocalError) as e:
-        raise MediaError(f"damaged file: {e!r}") from e
+        return _pixels(height, width, parts)
+    except (IndexError, KeyError, TypeError, ValueError, OverflowError, UnboundLocalError) as e:
+        raise e if isinstance(e, MediaError) else MediaError(f"damaged file: {e!r}") from e
+
+
+def _pixels(height: int, width: int, parts: dict[int, _Component]) -> np.ndarray:
     hmax, vmax = max(c.h for c in parts.values()), max(c.v for c in parts.values())
     planes = []
     for c in parts.values():
@@ -440,22 +461,24 @@ def encode(rgb: np.ndarray, quant: int = 8, sampling: int = 2, script: list | No
 
 
 def picture(vector: np.ndarray, size: int = 16) -> np.ndarray:
-    """size x size x 3 picture of a vector: smooth waves whose weights are its values."""
+    """size x size x 3 picture of a vector: waves whose weights are its values, all of them, as many a channel as it takes; NaN counts as 0."""
     v = np.nan_to_num(np.asarray(vector, float))
-    v = np.resize(v, 48) if len(v) else np.zeros(48)
+    n = max(4, int(np.ceil(np.sqrt(len(v) / 3))))
+    v = np.concatenate([v, np.zeros(3 * n * n - len(v))])
     v = v / max(1e-9, np.abs(v).max())
-    basis = np.cos((2 * np.arange(size)[None, :] + 1) * np.arange(4)[:, None] * np.pi / (2 * size))
-    weight = v.reshape(3, 4, 4) / (1 + np.arange(4)[:, None] + np.arange(4)[None, :])
+    basis = np.cos((2 * np.arange(size)[None, :] + 1) * np.arange(n)[:, None] * np.pi / (2 * size))
+    weight = v.reshape(3, n, n) / (1 + np.arange(n)[:, None] + np.arange(n)[None, :])
     p = np.einsum("cij,iy,jx->yxc", weight, basis, basis)
     return np.clip(np.rint(128 + 90 * p), 0, 255).astype(np.uint8)
 
 
 def render(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", quant: int = 4) -> DataFrame:
-    """(id, media): each vector's picture as a progressive JPEG; a null vector gives null."""
+    """(id, media): each vector's picture as a progressive JPEG; a null vector gives null, an empty one and zeros a grey picture, null values and NaN count
+    as 0. Repeated rows are rendered each, no rows give none, extra columns don't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media = [None if v is None else encode(picture(np.array(v, float)), quant) for v in b.column(1).to_pylist()]
+            media = [None if v is None else encode(picture(np.array([np.nan if x is None else x for x in v], float)), quant) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], ["id", "media"])
 
     kind = dict(vectors.dtypes)[id]
@@ -465,7 +488,8 @@ def render(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", qu
 def decode_media(table: DataFrame, id: str = "id", media: str = "media") -> DataFrame:
     """(id, height, width, channels, rgb, error): each file's pixels, row by row, at full resolution.
 
-    A null or damaged or empty file has null pixels, and for the latter two error says why; repeated rows are decoded each.
+    A null or damaged or empty file has null pixels, and for the latter two error says why: also one that ends before its end mark, or that
+    claims more blocks than it has bits. Repeated rows are decoded each, no rows give none, extra columns don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,8 +81,8 @@ def _pack(capacity: int):
         fill = table.column(0).to_numpy()
         flat, counts = lists.flatten(), np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4))
         head = np.cumsum(counts) - counts
-        ids, chunk = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy()
-        lead = np.nan_to_num(ids.astype(float), nan=-1)[head] if len(flat) else head
+        ids, chunk = flat.field(0).fill_null(np.iinfo(np.int64).min).to_numpy(), flat.field(1).to_numpy()
+        lead = ids[head]
         order = np.lexsort((chunk[head], lead, -fill))  # ties by id: the same bins whatever order rows come in
         bins = np.array(best_fit(fill[order].tolist(), capacity))
         by = np.argsort(bins, kind="stable")
@@ -104,7 +104,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL
 
     A document of more than `capacity` words is cut into whole chunks and a rest. bin is a string that names the
     bin by its first chunk and the round that closed it. Documents of no words take up 0 words of some bin, null texts are
-    left out, null ids stay null, repeated rows are separate items, and no rows give no bins.
+    left out, null ids stay null, ids are cast to long, repeated rows are separate items, and no rows give no bins.
     """
     if capacity < 1 or fan_in < 2:
         raise ValueError("capacity must be at least 1 and fan_in at least 2")

@@ -101,10 +101,15 @@ def features(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
-    """The text classifier's weights, from max_train labelled documents, those of least id hash."""
+    """The text classifier's weights, from max_train labelled documents, those of least id hash.
+
+    Rows of null id, text or label are left out; of an id's labels the largest counts and of its texts the least; ties of the hash are
+    broken by id. Without rows the evidence is even, with one label only it is that label's. Extra columns don't matter.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(known), docs[id] == known["_id"], "inner").select(F.col("_label"), F.col(text).alias("_text"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # one text an id: repeated ids don't add to what the driver gets
     table = features(rows, "_label", "_text").toArrow()
     return train(np.array(table["x"].to_pylist()), table["doc_id"].to_numpy())
 

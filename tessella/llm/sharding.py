@@ -60,9 +60,21 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", shards: list[str] | None
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS) -> None:
-    """Writes docs under path, a folder for each shard, with one shuffle on the shard."""
+    """Writes docs under path, a folder _shard=N for each shard, with one shuffle: a shard is written by as many tasks as are its share of
+    spark.sql.shuffle.partitions, rows of one key by several too if they differ.
+
+    Null keys go to the shard of the empty string, repeated rows are all written, no rows give no folders. All columns are kept; if there is
+    one named _shard, the folders have another underscore before the name.
+    """
     names = shards or shard_names()
-    keyed = docs.select("*", F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("_h"))
-    table = docs.sparkSession.createDataFrame([(k, s) for k, s in enumerate(fill_table(names, slots))], "_slot int, _shard int")
-    out = keyed.join(F.broadcast(table), (F.col("_h") % slots) == F.col("_slot")).drop("_h", "_slot")
-    out.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    folder = "_shard"
+    while folder in docs.columns:
+        folder = f"_{folder}"
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(f"row.`{key}`").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema if f.dataType.simpleString() in ("string", "bigint", "int", "double", "date", "timestamp", "boolean")]
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(*plain), F.lit(-(-width // len(names)))) if plain else F.lit(0)
+    table = docs.sparkSession.createDataFrame([(k, s) for k, s in enumerate(fill_table(names, slots))], "slot int, shard int")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    placed = whole.select("row", (hashed % slots).alias("h"), part.alias("part")).join(F.broadcast(table), F.col("h") == F.col("slot"))
+    placed.repartition(width, "shard", "part").select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

@@ -37,16 +37,10 @@ def sentence_words(p: Piece, kinds: tuple[int, ...] = KINDS) -> tuple[list[np.nd
         return [np.zeros(0, np.uint64)] * len(kinds), np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = _LOWER[p.data]
     s, e = p.starts.copy(), p.ends.copy()
-    for _ in range(8):
-        move = (e > s) & _EDGE[data[np.minimum(s, len(data) - 1)]]
-        if not move.any():
-            break
-        s += move
-    for _ in range(8):
-        move = (e > s) & _EDGE[data[e - 1]]
-        if not move.any():
-            break
-        e -= move
+    # the first byte from each place on, and the last up to it, that isn't such punctuation
+    inner, places = ~_EDGE[data], np.arange(len(data))
+    s = np.minimum(np.minimum.accumulate(np.where(inner, places, len(data))[::-1])[::-1][s], e)
+    e = np.maximum(np.maximum.accumulate(np.where(inner, places, -1))[e - 1] + 1, s)
     breaks = np.concatenate([[0], np.cumsum(p.data == 10)])
     new = np.ones(n, bool)
     new[1:] = _STOP[p.data[p.ends[:-1] - 1]] | (p.row[1:] != p.row[:-1]) | (breaks[p.starts[1:]] > breaks[p.ends[:-1]])
@@ -69,17 +63,25 @@ class Model:
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float, cut: float):
         size = 1 << TABLE_BITS
         self.keys, self.weights, self.bias, self.cut = np.zeros(size, np.uint64), np.zeros(size, np.float32), bias, cut
+        self.reach = 0
+        if 2 * len(hashes) > size:
+            raise ValueError("too many words for the table")
         for h, w in zip(hashes.tolist(), weights.tolist()):
-            at = h & (size - 1)
-            if not self.keys[at] or abs(w) > abs(self.weights[at]):
-                self.keys[at], self.weights[at] = h, w
+            at, moved = h & (size - 1), 0
+            while self.keys[at]:
+                at, moved = (at + 1) & (size - 1), moved + 1
+            self.keys[at], self.weights[at], self.reach = h, w, max(self.reach, moved)
 
     def score(self, words: list[np.ndarray]) -> np.ndarray:
         total = np.zeros(len(words[0]))
         for own in words:
-            at = (own & np.uint64(len(self.keys) - 1)).astype(np.int64)
-            hit = np.flatnonzero((self.keys[at] == own) & (own > 0))
-            total[hit] += self.weights[at[hit]]
+            at, rest = (own & np.uint64(len(self.keys) - 1)).astype(np.int64), np.flatnonzero(own)
+            for moved in range(self.reach + 1):
+                place = (at[rest] + moved) & (len(self.keys) - 1)
+                held = self.keys[place]
+                hit = held == own[rest]
+                total[rest[hit]] += self.weights[place[hit]]
+                rest = rest[~hit & (held > 0)]
         return total
 
 
@@ -176,14 +178,19 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = Non
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Trains on max_train labelled documents at most, half of them toxic if there are so many: of each label those of
-    least id hash, a fixed sample, bounded whatever the input's size. Weights give the labels their true shares again."""
+    least id hash, a fixed sample, bounded whatever the input's size. Weights give the labels their true shares again.
+
+    Rows of null id, text or label are left out; of an id's labels the largest counts and of its texts the least; without rows or with one
+    label only, nothing is toxic. Extra columns don't matter; long texts are taken whole.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_label"))
     known = known.join(docs.where(F.col(text).isNotNull()).select(F.col(id).alias("_id")).distinct(), "_id", "left_semi")
     shares = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
     pick = lambda y: known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_train // 2)
     chosen = pick(0).unionByName(pick(1))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    table = rows.select("_id", "_label", "_text").orderBy("_id", "_text").toArrow()
+    # one text an id, so that repeated ids don't add to what the driver gets
+    table = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_id", "_label", "_text").orderBy("_id").toArrow()
     y = table["_label"].to_numpy()
     weights = np.array([shares.get(int(k), 0) / max(1, (y == k).sum()) for k in y])
     return train(table["_text"].to_pylist(), y, weights)
@@ -217,7 +224,8 @@ def _score(model: Model, sentences: bool):
 def offending_sentences(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, doc_score, sentence_no, score, sentence): for each document the model finds toxic, its sentences of score
     0.5 at least, and in any case its highest (all, if several tie). Null, empty and clean documents give no row; a
-    repeated row is scored each time; null ids stay null."""
+    repeated row is scored each time; null ids stay null; ids are cast to long, and one that can't be is an error of the cast. Long texts are scored
+    whole, extra columns don't matter, no rows give no rows."""
     return docs.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(model, True), "doc_id long, doc_score double, sentence_no int, score double, sentence string")
 
 

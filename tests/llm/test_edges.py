@@ -80,3 +80,79 @@ def test_media_edges(spark):
     assert media.decode_media(spark.createDataFrame([], "id long, media binary")).count() == 0
     vectors = spark.createDataFrame([(1, [1.0, float("nan")]), (2, []), (3, None)], "vec_id long, embedding array<float>")
     assert [r.media is None for r in media.render(vectors).orderBy("id").collect()] == [False, False, True]
+
+
+def test_fits_over_odd_rows(spark, odd_rows):
+    docs = table(spark, odd_rows)
+    labels = spark.createDataFrame([(4, 1, 0), (9, 0, 1), (9, 0, 1), (None, 1, 1), (5, None, None), (5, 1, 0), (77, 0, 1)], "doc_id long, quality int, toxic int")
+    for d, y in ((docs, labels), (clash(docs), labels.select("*", *[F.lit("x").alias(c) for c in CLASHING if c not in labels.columns])), (docs.limit(0), labels), (docs, labels.limit(0)), (docs, labels.where("toxic = 1"))):
+        assert toxicity.drop_toxic(docs, toxicity.fit(d, y)).count() <= len(odd_rows)
+        assert len(quality.fit(d, y)) == 2 * len(quality.FEATURES) + 1
+    assert toxicity.fit(docs, labels.limit(0)).bias == -20
+
+
+def test_shards_written(spark, odd_rows, tmp_path):
+    docs = clash(table(spark, odd_rows)).withColumn("_shard", F.lit(1)).withColumn("_slot", F.lit(2))
+    sharding.write_shards(docs, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == len(odd_rows) and {*back.columns} == {*docs.columns, "__shard"}
+    placed = {(r.doc_id, r.shard) for r in sharding.assign_shards(docs).collect()}
+    assert {(r.doc_id, r["__shard"]) for r in back.collect()} == placed
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"))
+
+
+def test_coding_odd_rows(spark, odd_rows):
+    docs = table(spark, odd_rows)
+    coded = bpe.encode(clash(docs))
+    back = bpe.decode(coded)
+    assert coded.count() == back.count() == len(odd_rows)
+    assert bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_damaged_media():
+    good = media.encode(media.picture(np.arange(64.0)))
+    whole = media.decode(good)
+    rng = np.random.default_rng(3)
+    wrong = 0
+    for k in range(len(good) - 1):
+        with pytest.raises(media.MediaError):
+            media.decode(good[:k])
+    for _ in range(300):
+        bad = bytearray(good)
+        for at in rng.integers(2, len(bad), 3):
+            bad[at] = rng.integers(0, 256)
+        try:
+            wrong += media.decode(bytes(bad)).shape != whole.shape
+        except media.MediaError:
+            wrong += 1
+    assert wrong
+
+
+def test_all_values_show():
+    v = np.linspace(-1, 1, 64)
+    other = v.copy()
+    other[-1] = 0.2
+    assert (media.picture(v) != media.picture(other)).any()
+
+
+def test_words_lose_all_punctuation():
+    import pyarrow as pa
+
+    from tessella.llm.textkit import pieces
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["scum", "!" * 40 + "SCUM" + "?" * 30, "!!!", "x"])})
+    (p,) = pieces(iter([batch]))
+    (h,), _, _ = toxicity.sentence_words(p, (0,))
+    assert h[0] == h[1] != h[3] and len(h) == 4
+
+
+def test_no_weight_is_lost():
+    hashes = np.array([5, 5 + (1 << 18), 5 + (2 << 18), 6], np.uint64)
+    model = toxicity.Model(hashes, np.array([1.0, 2.0, 3.0, 4.0]), 0.0, 0.5)
+    assert model.score([np.append(hashes, np.uint64(7))]).tolist() == [1, 2, 3, 4, 0]
+
+
+def test_ids_beyond_floats(spark):
+    ids = [2**53 + k for k in range(6)]
+    rows = sorted((r.doc_id, r.slot) for r in packing.pack_documents(table(spark, [(i, "a b c") for i in ids]).repartition(3), capacity=9).collect())
+    assert [i for i, _ in rows] == ids
