@@ -79,7 +79,7 @@ words AS (SELECT doc, {_WORDS} AS w FROM names),
 grams AS (SELECT DISTINCT doc, array_to_string(w[i:i + 4], ' ') AS g
           FROM (SELECT doc, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc, count(*) AS n FROM grams GROUP BY doc),
-shared AS (SELECT a.doc AS doc_a, b.doc AS doc_b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc < b.doc GROUP BY 1, 2)
+shared AS (SELECT a.doc AS doc_a, b.doc AS doc_b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc < b.doc GROUP BY 1, 2),
 links AS (SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc = doc_a JOIN sizes y ON y.doc = doc_b
           WHERE o / CAST(x.n + y.n - o AS DOUBLE) >= 0.4 - 1e-9),
 ends AS (SELECT doc_a AS a, doc_b AS b FROM links UNION ALL SELECT doc_b, doc_a FROM links),
