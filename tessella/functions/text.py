@@ -34,7 +34,7 @@ def word_count(text: Column, lang: Column | str) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return F.length(text) + F.length(F.regexp_replace(text, "[\\x{0000}-\\x{FFFF}]", ""))
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
 def space_count(text: Column) -> Column:

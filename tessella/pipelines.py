@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sinks, sources, srx
 from .functions import text as T
-from .operators import analysis, relations, transforms
+from .operators import analysis, transforms
 
 
 def convert(spark: SparkSession, path: str, src_lang: str, format: str | None = None, rules: srx.Rules | None = srx.DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -18,15 +18,17 @@ def convert(spark: SparkSession, path: str, src_lang: str, format: str | None =
     return parts, segments
 
 
-def merge(parts: DataFrame, segments: DataFrame, unapproved: bool = False, policy: str = "approved") -> DataFrame:
-    """(doc_id, file_no, text): documents with their translations. Segments of one unit come back together first."""
+def merge(parts: DataFrame, segments: DataFrame, unapproved: bool = False, policy: str | None = None) -> DataFrame:
+    """(doc_id, file_no, text): documents with their translations, each by its format's policy and encoding. Segments of one unit come back
+    together first.
+    """
     by = ["doc_id", "file_no", "unit_id"]
     if "seg_no" in segments.columns:
         state = F.when(F.coalesce("approved", F.lit(False)), F.lit("final")).otherwise(F.col("state"))
         segments = transforms.to_version_1(segments.withColumn("state", state), by)
     if unapproved:
         segments = segments.withColumn("approved", F.coalesce("approved", F.lit(False)) | F.col("target").isNotNull())
-    return relations.merge_documents(parts.where("kind <> 'error'"), segments, policy, ("doc_id", "file_no"))
+    return sources.merge_text(parts, segments, policy)
 
 
 def analyse(segments: DataFrame, lang: str) -> dict[str, DataFrame]:

@@ -94,7 +94,7 @@ def ideograph_count(spark, sf_dir):
 
 @query(r"""SELECT source AS original, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(regexp_replace(text, '[\t\n\x0B\f\r\x1C-\x1F ]', '', 'g'))) AS BIGINT) AS spaces FROM documents GROUP BY source""")
 def character_status(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = A.spread_scan(table(spark, sf_dir, "documents").select("source", "text"))
     return d.groupBy(F.col("source").alias("original")).agg(F.sum(T.utf16_length(F.col("text"))).cast("long").alias("chars"), F.sum(T.space_count(F.col("text"))).cast("long").alias("spaces"))
 
 
@@ -140,14 +140,15 @@ def chart_buckets(spark, sf_dir):
 _CONTEXT = """ctx AS (SELECT *, lag(segment) OVER w AS pv, lead(segment) OVER w AS nx FROM lines WINDOW w AS (PARTITION BY original ORDER BY doc_id, pos))"""
 
 
-@query(f"""WITH {_LINES}, {_CONTEXT}, old AS (SELECT * FROM ctx WHERE doc_id % 2 = 0), hits AS (
-SELECT n.original, n.doc_id, n.pos, max(struct_pack(a := o.doc_id, b := o.pos)) AS best FROM ctx n JOIN old o ON n.original = o.original AND n.segment = o.segment AND (n.pv IS NULL OR n.pv = o.pv) AND (n.nx IS NULL OR n.nx = o.nx) WHERE n.doc_id % 3 <> 0 GROUP BY ALL)
+@query(f"""WITH {_LINES}, {_CONTEXT}, old AS (SELECT ctx.* FROM ctx JOIN labels USING (doc_id) WHERE quality = 1), hits AS (
+SELECT n.original, n.doc_id, n.pos, max(struct_pack(a := o.doc_id, b := o.pos)) AS best FROM ctx n JOIN old o ON n.original = o.original AND n.segment = o.segment AND (n.pv IS NULL OR n.pv = o.pv) AND (n.nx IS NULL OR n.nx = o.nx) GROUP BY ALL)
 SELECT original, doc_id, pos, best.a AS old_doc FROM hits""")
 def ice_matches(spark, sf_dir):
-    """New version: all lines, old version: the same, even documents approved; targets say where they come from."""
+    """New version: all lines, old version: the same, those of good documents approved; targets say where they come from."""
+    good = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
     rows = lines(spark, sf_dir).select("original", "doc_id", F.struct("doc_id", "pos").alias("at"), F.col("segment").alias("source"), F.lit(None).cast("string").alias("state_qualifier"))
-    old = rows.withColumns({"approved": F.col("doc_id") % 2 == 0, "target": F.col("doc_id").cast("string")})
-    new = rows.withColumns({"translate": F.col("doc_id") % 3 != 0, "approved": F.lit(False), "target": F.lit(None).cast("string")})
+    old = rows.join(good, "doc_id", "left").withColumns({"approved": F.coalesce("good", F.lit(False)), "target": F.col("doc_id").cast("string")})
+    new = rows.withColumns({"translate": F.lit(True), "approved": F.lit(False), "target": F.lit(None).cast("string")})
     found = R.in_context_matches(old, new, pos="at")
     return found.where("approved").select("original", "doc_id", F.col("at.pos").alias("pos"), F.col("target").cast("long").alias("old_doc"))
 
@@ -335,15 +336,13 @@ def html_segments(spark, sf_dir):
     return S.segments_of(S.parts_of(pages, "HTML", "utf-8", "page_id", "html")).select("doc_id", "pos", "unit_id", "source")
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, md5(html) AS same FROM pages WHERE false")
+@query(r"SELECT CAST(page_id AS VARCHAR) AS doc_id, md5(regexp_replace(html, '[ \t\n\x0B\f\r]+', '', 'g')) AS digest FROM pages")
 def html_round_trip(spark, sf_dir):
-    """Pages whose parts, put together again with unchanged sources, lose more than white space: none."""
+    """Pages put together again from their parts, with unchanged sources: they are the same but for white space."""
     pages = A.spread_scan(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     parts = S.parts_of(pages, "HTML", "utf-8", "page_id", "html")
-    again = S.merge_text(parts, S.segments_of(parts)).select("doc_id", "text")
-    bare = lambda c: F.regexp_replace(c, "\\s+", "")
-    both = pages.select(F.col("page_id").cast("string").alias("doc_id"), "html").join(again, "doc_id", "left")
-    return both.where(~bare(F.col("html")).eqNullSafe(bare(F.col("text")))).select("doc_id", F.md5("html").alias("same"))
+    again = S.merge_text(parts, S.segments_of(parts))
+    return again.select("doc_id", F.md5(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", "")).alias("digest"))
 
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, segment AS source FROM lines")

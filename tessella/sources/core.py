@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.relations import merge_documents
+from ..functions import text as T
+from ..operators.relations import chosen_text, merge_documents
 from .detect import decode_bytes, detect
 
 
@@ -98,9 +99,8 @@ def parts_of(documents: DataFrame, format: str | None = None, encoding: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if raw is None:
-                    continue
-                rows = list(_rows(doc_id, raw, format, encoding))
+                # null content is an error row too
+                rows = list(_rows(doc_id, raw, format, encoding)) if raw is not None else [(doc_id, 0, doc_id, format, 0, "error", *[None] * 10, "no content")]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
@@ -118,18 +118,70 @@ def segments_of(parts: DataFrame) -> DataFrame:
     return parts.where("kind = 'ref'").select("doc_id", "file_no", "original", "format", F.col("part_no").alias("pos"), F.col("ref_id").alias("unit_id"), "source", "target", "approved", "translate", "state", "resname", "notes", "attrs")
 
 
-def merge_text(parts: DataFrame, segments: DataFrame, policy: str = "approved") -> DataFrame:
-    """(doc_id, file_no, text) of documents with the segments' texts in their places."""
-    return merge_documents(parts.where("kind <> 'error'"), segments, policy, ("doc_id", "file_no"))
+def _to_mif(text: Column) -> Column:
+    """Text as string statements, markup lines between them as they were."""
+    coded = text
+    for said, written in (("\\", "\\\\"), ("\t", "\\t"), (">", "\\>"), ("'", "\\q"), ("`", "\\Q")):
+        coded = F.replace(coded, F.lit(said), F.lit(written))
+    return F.concat(F.lit("<String `"), coded, F.lit("'>"))
 
 
-def write(parts: DataFrame, segments: DataFrame, format: str, path: str, policy: str | None = None) -> None:
-    """Writes merged documents of one format as a table of (doc_id, file_no, text) in Parquet under path."""
-    encode = ENCODERS.get(format)
-    if encode:
-        coded = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else encode(x)), "string")
-        segments = segments.withColumns({"source": coded("source"), "target": coded("target")})
-    how = policy or POLICY.get(format, "approved")
-    if how == "keep_original":
-        segments = segments.withColumn("skeleton_target", F.coalesce("target", "source"))
-    merge_text(parts, segments, how).write.parquet(path)
+def _to_mif_lines(text: Column) -> Column:
+    pieces = F.filter(F.split(text, "(?=<ph>)|(?<=</ph>)"), lambda p: p != "")
+    tag = lambda p: F.startswith(p, F.lit("<ph>")) & F.endswith(p, F.lit("</ph>"))
+    one = lambda p: F.when(tag(p), F.regexp_replace(p, "^<ph>\\n*|\\n*</ph>$", "")).otherwise(_to_mif(p))
+    return F.array_join(F.transform(pieces, one), "\n")
+
+
+def _to_php(text: Column) -> Column:
+    """Quoted as the string in the document was."""
+    quote = F.coalesce(F.col("attrs")["quote"], F.lit("'"))
+    return F.replace(text, quote, F.concat(F.lit("\\"), quote))
+
+
+#: ENCODERS as expressions over a part's columns.
+COLUMN_ENCODERS: dict[str, Callable[[Column], Column]] = {
+    "JAVA": T.escape_unicode,
+    "JSON": lambda x: _to_json(x),
+    "PHPA": _to_php,
+    "MIF": _to_mif_lines,
+    "INX": lambda x: F.replace(x, F.lit("_"), F.lit("~sep~")),
+}
+
+
+def _to_json(text: Column) -> Column:
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.substring(whole, F.lit(7), F.length(whole) - 8)
+
+
+def encoded(text: Column) -> Column:
+    """A text on its way into a document of the part's format."""
+    out = None
+    for name, encode in COLUMN_ENCODERS.items():
+        here = F.col("format") == name
+        out = F.when(here, encode(text)) if out is None else out.when(here, encode(text))
+    return out.otherwise(text)
+
+
+def _policy() -> Column:
+    """The text that a part's format wants."""
+    names = {"source": "_source", "target": "_target", "approved": "_approved", "original": "_original"}
+    out = chosen_text("approved", **names)
+    for policy in sorted(set(POLICY.values())):
+        out = F.when(F.col("format").isin(*[f for f, p in POLICY.items() if p == policy]), chosen_text(policy, **names)).otherwise(out)
+    return out
+
+
+def merge_text(parts: DataFrame, segments: DataFrame, policy: str | None = None) -> DataFrame:
+    """(doc_id, file_no, text) of documents with the segments' texts in their places, encoded as each document's format wants.
+
+    policy None: that of each format. All formats are merged in one plan.
+    """
+    good = parts.where("kind <> 'error'").withColumn("_original", F.coalesce("target", "source"))
+    names = {"source": "_source", "target": "_target", "approved": "_approved", "original": "_original"}
+    return merge_documents(good, segments, chosen_text(policy, **names) if policy else _policy(), ("doc_id", "file_no"), encoded)
+
+
+def write(parts: DataFrame, segments: DataFrame, path: str, policy: str | None = None) -> None:
+    """Writes merged documents as a table of (doc_id, file_no, text) in Parquet under path."""
+    merge_text(parts, segments, policy).write.parquet(path)

@@ -109,20 +109,17 @@ def javascript(text: str) -> list[Part]:
 
 @text_format("PHPA", lambda s: s.replace("'", "\\'"))
 def php_array(text: str) -> list[Part]:
-    """Values of an array of string keys and values."""
+    """String values of an array, nested ones too: a string before an arrow is a key. Numbers and other values are literal."""
     start = re.search(r"array\(|return\s*\[", text)
     if not start:
         raise ValueError("no array")
-    out, at, value = [Part(text[: start.end()])], start.end(), False
-    for m in re.finditer(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", text[at:]):
-        out.append(Part(text[at : start.end() + m.start()]))
+    out, at = [], 0
+    for m in re.compile(r"//[^\n]*|\#[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", re.S).finditer(text, start.end()):
         piece = m.group()
-        if value:
-            out += [Part(piece[0]), Part(unit="", source=piece[1:-1].replace("\\" + piece[0], piece[0])), Part(piece[-1])]
-        else:
-            out.append(Part(piece))
-        value = not value
-        at = start.end() + m.end()
+        if piece[0] not in "\"'" or re.compile(r"\s*=>").match(text, m.end()):
+            continue
+        out += [Part(text[at : m.start() + 1]), Part(unit="", source=piece[1:-1].replace("\\" + piece[0], piece[0]), attrs={"quote": piece[0]})]
+        at = m.end() - 1
     return [*out, Part(text[at:])]
 
 

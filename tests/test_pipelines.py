@@ -1,5 +1,6 @@
 import xml.etree.ElementTree as ET
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella import pipelines, sinks, sources
@@ -83,3 +84,35 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tmx")).first()["text"].count("<tu ") == 2
     go("compare", "-file1", tmp_path / "p", "-file2", tmp_path / "m/segments", "-out", tmp_path / "diff")
     assert spark.read.parquet(str(tmp_path / "diff")).count() == 0
+
+
+MERGED = {
+    "a.properties": ("k=v\n", "line\nbreak 中", "k=line\\nbreak \\u4e2d\n"),
+    "b.json": ('{"a": "v"}', 'say "x"\n\\ 中', '{"a": "say \\"x\\"\\n\\\\ 中"}'),
+    "c.php": ("<?php\nreturn array('k' => 'v', 3 => [1, \"n\" => true]);", "it's \"x\"", "<?php\nreturn array('k' => 'it\\'s \"x\"', 3 => [1, \"n\" => true]);"),
+    "d.php": ('<?php\nreturn array("k" => "v");', "it's \"x\"", '<?php\nreturn array("k" => "it\'s \\"x\\"");'),
+    "e.mif": ("<Para\n<ParaLine\n<String `v'>\n>\n>\n", "a`b'c>\t\\", "<Para\n<ParaLine\n<String `a\\Qb\\qc\\>\\t\\\\'>\n>\n>\n"),
+}
+
+
+def test_merge_encodes_by_format(spark):
+    kinds = {"properties": "JAVA", "json": "JSON", "php": "PHPA", "mif": "MIF"}
+    for kind in sorted(set(kinds)):
+        docs = [(n, t.encode("utf-8")) for n, (t, _, _) in MERGED.items() if n.endswith(kind)]
+        parts = sources.parts_of(spark.createDataFrame(docs, "path string, content binary"), kinds[kind])
+        segments = sources.segments_of(parts)
+        assert [r.source for r in segments.collect()] == ["v"] * len(docs)
+        same = {r.doc_id: r.text for r in pipelines.merge(parts, segments).collect()}
+        assert same == {n: MERGED[n][0] for n, _ in docs}
+        said = F.create_map(*[F.lit(x) for n, _ in docs for x in (n, MERGED[n][1])])
+        done = segments.withColumns({"target": said[F.col("doc_id")], "approved": F.lit(True)})
+        changed = {r.doc_id: r.text for r in pipelines.merge(parts, done).collect()}
+        assert changed == {n: MERGED[n][2] for n, _ in docs}
+
+
+def test_two_segments_of_one_place_and_no_content(spark):
+    parts = sources.parts_of(spark.createDataFrame([("a", b"k=v\n"), ("b", None)], "path string, content binary"), "JAVA")
+    assert [(r.doc_id, r.error) for r in parts.where("kind = 'error'").collect()] == [("b", "no content")]
+    segments = sources.segments_of(parts)
+    with pytest.raises(Exception, match="two segments of one place"):
+        sources.merge_text(parts, segments.unionAll(segments)).collect()
