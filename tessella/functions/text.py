@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-DELIMITERS = "[ \\t\\r\\n()?\\u00A0\\u3001\\u3002\\uFF1A\\uFF01\\uFF1F\\u4ECB]+"
-SEPARATORS = "[.,\\-/<>]"
+#: Inside of character classes. A class tests its single characters one by one, so the wide ones stand behind a range, outside of which most texts are.
+_WIDE = "[\\u3001-\\uFF1F&&[\\u3001\\u3002\\uFF1A\\uFF01\\uFF1F\\u4ECB]]"
+DELIMITERS, SEPARATORS = f" \\t\\r\\n()?\\u00A0{_WIDE}", ".,\\-/<>"
+_IN_TOKEN, _PIECE = f"[^{DELIMITERS}]", f"[^{DELIMITERS}{SEPARATORS}]+"
+#: Matches once for each word: a piece at the end of its token (most are whole tokens), a whole token with a digit, another piece.
+WORD = f"{_PIECE}(?!{_IN_TOKEN})|(?<!{_IN_TOKEN})[^{DELIMITERS}\\p{{Nd}}]*\\p{{Nd}}{_IN_TOKEN}*|{_PIECE}"
 CJK = ("zh", "ja", "ko")
 VOWELS, ACCENTED = "aeiouAEIOU", "áèîöúÁÈÎÖÚ"
 CLASSES = ("exact", "95", "85", "75", "50")
@@ -13,18 +17,13 @@ CLASSES = ("exact", "95", "85", "75", "50")
 
 def count_words(text: Column) -> Column:
     """Words of a text in a spaced script: tokens between delimiters; one joined by separators counts its pieces, unless it has a digit."""
-    tokens = F.filter(F.split(text, DELIMITERS), lambda t: t != "")
-    pieces = lambda t: F.size(F.filter(F.split(t, SEPARATORS + "+"), lambda x: x != ""))
-    one = lambda t: F.when(t.rlike(SEPARATORS) & ~t.rlike("\\p{Nd}"), pieces(t)).otherwise(F.lit(1))
-    return F.coalesce(F.aggregate(tokens, F.lit(0), lambda total, t: total + one(t)), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
 def count_ideographs(text: Column) -> Column:
     """Words of Chinese, Japanese or Korean text: each UTF-16 unit above 255 but six punctuation marks, and the words of the rest."""
-    kept = "[^\\u0000-\\u00FF\\u3001\\u3002\\uFF1A\\uFF01\\uFF1F\\u4ECB]"
-    rest = F.regexp_replace(text, kept, "")
-    wide = utf16_length(F.regexp_replace(text, "[\\u0000-\\u00FF\\u3001\\u3002\\uFF1A\\uFF01\\uFF1F\\u4ECB]", ""))
-    return wide + count_words(rest)
+    rest = F.regexp_replace(text, "[\\u0100-\\x{10FFFF}&&[^\\u3001\\u3002\\uFF1A\\uFF01\\uFF1F\\u4ECB]]+", "")
+    return utf16_length(text) - utf16_length(rest) + count_words(rest)
 
 
 def word_count(text: Column, lang: Column | str) -> Column:

@@ -89,7 +89,8 @@ def word_count_by_lang(spark, sf_dir):
 
 @query(rf"""SELECT doc_id, len(regexp_replace(text, '[\x00-\xFF\x{{3001}}\x{{3002}}\x{{FF1A}}\x{{FF01}}\x{{FF1F}}\x{{4ECB}}]', '', 'g')) + {_words(r"regexp_replace(text, '[^\x00-\xFF\x{3001}\x{3002}\x{FF1A}\x{FF01}\x{FF1F}\x{4ECB}]', '', 'g')")} AS words FROM documents""")
 def ideograph_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.count_ideographs(F.col("text")).cast("long").alias("words"))
+    d = A.spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return d.select("doc_id", T.count_ideographs(F.col("text")).cast("long").alias("words"))
 
 
 @query(r"""SELECT source AS original, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(regexp_replace(text, '[\t\n\x0B\f\r\x1C-\x1F ]', '', 'g'))) AS BIGINT) AS spaces FROM documents GROUP BY source""")

@@ -21,6 +21,19 @@ def test_ideographs(spark):
     assert one(spark, "😀a", T.utf16_length) == 3
 
 
+@pytest.mark.parametrize("text,words,ideographs", [("..b-5.x (a.b) .-.", 3, 3), ("漢a.b漢5 x漢.漢y介介ß", 4, 8), ("a漢b。٣.٤！𝟗.𝟗-z", 3, 9), ("\n.\u00a0-x", 1, 1), (None, 0, None)])
+def test_words_between_marks(spark, text, words, ideographs):
+    assert one(spark, text, T.count_words) == words
+    assert one(spark, text, T.count_ideographs) == ideographs
+
+
+def test_words_are_counted_in_one_pass(spark):
+    """No array of tokens, each of which is searched again by interpreted lambdas."""
+    x = spark.createDataFrame([("a",)], "x string").select(T.count_words(F.col("x")).alias("w"), T.count_ideographs(F.col("x")).alias("i"))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan
+
+
 @pytest.mark.parametrize("qualities,kind", [(["100"], "exact"), (["99"], "95"), (["84"], "75"), (["49"], "new"), (["101"], "new"), (["98.5"], "new"), ([], "new"), (["x", "60"], "50")])
 def test_match_class(spark, qualities, kind):
     assert spark.createDataFrame([(qualities,)], "q array<string>").select(T.match_class(F.col("q"))).first()[0] == kind

@@ -36,3 +36,10 @@ def test_query(spark, sql, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_ideograph_count_is_spread(spark):
+    """A table of one row group keeps all cores busy."""
+    assert spark.read.parquet(f"{SF}/documents.parquet").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    assert QUERIES["ideograph_count"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
